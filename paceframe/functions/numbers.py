@@ -12,8 +12,8 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def is_finite(x: Column) -> Column:
-    """True for a double that is neither NULL, NaN nor infinite."""
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """True for a double that is neither NULL, NaN nor infinite (NaN and infinity times 0 are NaN)."""
+    return F.coalesce(x * F.lit(0.0) == F.lit(0.0), F.lit(False))
 
 
 def parse_number(x: Column, default: float | None = 0.0) -> Column:

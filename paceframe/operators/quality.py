@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceframe.functions.documents import parse_json
+from paceframe.functions.documents import parsed_once
 from paceframe.functions.numbers import is_finite, parse_integer, parse_number
 from paceframe.functions.text import one_of
 from paceframe.schemas import HR_EVENT_ANY
@@ -28,10 +28,13 @@ def with_reasons(df: DataFrame, rules: Rules, name: str = "reasons") -> DataFram
 
 
 def split_valid(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """(valid rows without the reasons, quarantined rows with them)."""
-    checked = with_reasons(df, rules)
-    valid = checked.filter(F.size("reasons") == 0).drop("reasons")
-    return valid, checked.filter(F.size("reasons") > 0)
+    """(valid rows without the reasons, quarantined rows with them).
+
+    Rows are split by plain conditions, which stay in generated code; the array of reasons
+    is built for quarantined rows only.
+    """
+    ok = reduce(lambda a, b: a & b, [F.coalesce(rule, F.lit(False)) for rule in rules.values()])
+    return df.filter(ok), with_reasons(df.filter(~ok), rules)
 
 
 def positive_integer(x: Column) -> Column:
@@ -90,32 +93,32 @@ def canonical_events(raw: DataFrame, value: str = "value", keep: tuple[str, ...]
 
     Field aliases are coalesced, ``end`` becomes ``session_end`` and a missing type is a
     sample. ``malformed`` is true for text that is not a JSON object. Columns in ``keep``
-    are carried along.
+    are carried along; they must not share a name with a field of the record.
     """
-    parsed = raw.select(*keep, F.col(value).cast("string").alias("raw"))
-    parsed = parsed.withColumn("e", parse_json(F.col("raw"), HR_EVENT_ANY))
-    e = "e."
+    parsed = parsed_once(
+        raw, F.col(value).cast("string"), HR_EVENT_ANY, (*keep, F.col(value).cast("string").alias("raw"))
+    )
 
     def pick(*names: str) -> Column:
-        return F.coalesce(*[F.col(e + n) for n in names])
+        return F.coalesce(*[F.col(n) for n in names])
 
-    kind = F.lower(F.trim(F.col("e.event_type")))
+    kind = F.lower(F.trim(F.col("event_type")))
     return parsed.select(
         *keep,
         pick("athlete_id", "atleta_id").alias("athlete_id"),
         parse_integer(pick("session_id", "sessione_id")).alias("session_id"),
-        F.col("e.sport").alias("sport"),
+        "sport",
         parse_number(pick("heart_rate_bpm", "heart_rate"), None).alias("heart_rate_bpm"),
         parse_number(pick("cadence_spm", "cadence"), None).alias("cadence_spm"),
-        parse_number(F.col("e.speed_kmh"), None).alias("speed_kmh"),
+        parse_number(F.col("speed_kmh"), None).alias("speed_kmh"),
         parse_number(pick("altitude_m", "altitude"), None).alias("altitude_m"),
         parse_number(pick("temperature_c", "temperature"), None).alias("temperature_c"),
-        parse_number(F.col("e.latitude"), None).alias("latitude"),
-        parse_number(F.col("e.longitude"), None).alias("longitude"),
-        F.col("e.timestamp").alias("timestamp"),
+        parse_number(F.col("latitude"), None).alias("latitude"),
+        parse_number(F.col("longitude"), None).alias("longitude"),
+        "timestamp",
         parse_integer(pick("sample_index", "sample_id")).alias("sample_index"),
         F.when(kind.isin("end", "session_end"), "session_end").otherwise("sample").alias("event_type"),
-        (F.col("e").isNull() | F.col("e._corrupt_record").isNotNull()).alias("malformed"),
+        (F.col("raw").isNull() | F.col("_corrupt_record").isNotNull()).alias("malformed"),
         "raw",
     )
 

@@ -31,11 +31,10 @@ def session_summary(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -
 
     def steps(frame: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("sample_index")
-        step = haversine_m(
-            F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude")
-        )
-        gap = (F.col("sample_index") - F.lag("sample_index").over(w)) * F.lit(cfg.seconds_per_index)
-        return frame.select("*", step.alias("_step"), gap.alias("_gap"))
+        before = [F.lag(c).over(w).alias(f"_prev_{c}") for c in ("latitude", "longitude", "sample_index")]
+        step = haversine_m(F.col("_prev_latitude"), F.col("_prev_longitude"), F.col("latitude"), F.col("longitude"))
+        gap = (F.col("sample_index") - F.col("_prev_sample_index")) * F.lit(cfg.seconds_per_index)
+        return frame.select("*", *before).select("*", step.alias("_step"), gap.alias("_gap"))
 
     moved = over_sessions(slim, SESSION, "sample_index", 1, steps, cfg.hot, unique_events)
     speed = F.when(F.col("_gap") > 0, ratio(F.col("_step"), F.col("_gap")))

@@ -26,7 +26,9 @@ from paceframe.config import EARTH_RADIUS_M, DetectorConfig
 from paceframe.functions.text import alarm_text
 from paceframe.operators.sessions import SESSION, unique_events
 from paceframe.operators.skew import chunk_with_halo, dense_position, split_hot
-from paceframe.runtime import written
+from paceframe.runtime import send_by_value, written
+
+send_by_value()
 
 COLUMNS = ["sample_index", "latitude", "longitude", "heart_rate_bpm"]
 ALERT_SCHEMA = (

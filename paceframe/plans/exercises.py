@@ -35,12 +35,17 @@ def exercise_matrix(sets: DataFrame, exercises: Sequence[str]) -> DataFrame:
     """Per athlete: columns, square matrix and the number of training days behind it.
 
     Pairs use the days with both exercises (definition ours); an undefined pair is NULL.
+    Days with a single exercise only count; they skip the wide aggregation of the pairs.
     """
     n = len(exercises)
     if n < 2:
         raise ValueError("a correlation matrix needs at least two exercises")
     pairs = {(i, j): safe_corr(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in combinations(range(n), 2)}
-    stats = daily_loads(sets, exercises).groupBy("athlete_id").agg(F.count(F.lit(1)).alias("rows"), *pairs.values())
+    daily = daily_loads(sets, exercises)
+    present = sum((F.col(f"x{i}").isNotNull().cast("int") for i in range(n)), F.lit(0))
+    days = daily.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("rows"))
+    related = daily.filter(present >= 2).groupBy("athlete_id").agg(*pairs.values())
+    stats = days.join(related, "athlete_id", "left")
 
     def cell(i: int, j: int):
         return F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceframe.functions.documents import parse_json
+from paceframe.functions.documents import parsed_once
 from paceframe.operators.joins import new_rows_only
 from paceframe.operators.quality import Rules, split_valid
 from paceframe.operators.rollups import high_water_mark, load_control
@@ -42,54 +42,51 @@ def rows_to_stage(workouts: DataFrame, target: DataFrame, staged: DataFrame) ->
     return new_rows_only(to_raw(incremental_scan(workouts, "id", mark)), staged, "allenamento_id")
 
 
-def _set(number: Column, reps: Column, rest: Column, load: Column) -> Column:
-    def or_zero(x: Column, kind: str) -> Column:
-        return F.coalesce(x, F.lit(0)).cast(kind)
-
-    return F.struct(
-        number.cast("bigint").alias("serie"),
-        or_zero(reps, "bigint").alias("ripetizioni"),
-        or_zero(rest, "bigint").alias("recupero"),
-        or_zero(load, "double").alias("carico"),
-    )
-
-
-def _flat_exercise(e: Column) -> Column:
-    """Exercise with a set count: one entry per set, nothing for a count below 1.
-
-    A count that cannot be a set number stays one entry, for the quarantine.
-    """
-    n = e["serie"]
-
-    def numbered(i: Column) -> Column:
-        return _set(i, e["ripetizioni"], e["recupero_secondi"], e["carico_kg"])
-
-    sets = F.when(n.between(1, MAX_COUNTER), F.transform(F.sequence(F.lit(1).cast("bigint"), n), numbered)).when(
-        n > MAX_COUNTER, F.array(numbered(n))
-    )
-    return F.struct(F.coalesce(e["nome"], F.lit("")).alias("nome"), sets.alias("sets"))
-
-
-def _listed_exercise(e: Column) -> Column:
-    """Exercise that lists its sets."""
-    sets = F.transform(
-        e["serie"], lambda s, i: _set(F.coalesce(s["numero"], i + 1), s["ripetizioni"], s["recupero_secondi"], s["carico_kg"])
-    )
-    return F.struct(F.coalesce(e["nome"], F.lit("")).alias("nome"), sets.alias("sets"))
-
-
 def expand_sets(raw: DataFrame) -> DataFrame:
     """One row per exercise set with unchecked values; the document is parsed once.
 
     Workouts without exercises, and exercises without sets, give no row. Missing numbers
-    are 0 and a missing name is empty text. Both document shapes are read.
+    are 0 and a missing name is empty text. Both document shapes are read: an exercise with
+    a set count, and one that lists its sets. A chain of generators keeps the work in
+    generated code. A count that cannot be a set number stays one row, for the quarantine.
     """
-    doc = raw.select(*HEADER, parse_json(F.col("struttura_allenamento"), WORKOUT_DOCUMENT).alias("doc"))
-    flat = F.transform("doc.esercizi", _flat_exercise)
-    listed = F.transform("doc.allenamento.esercizi", _listed_exercise)
-    per_exercise = doc.select(*HEADER, F.explode(F.array_compact(F.array(flat, listed))).alias("shape"))
-    per_exercise = per_exercise.select(*HEADER, F.inline("shape"))
-    return per_exercise.select(*HEADER, "nome", F.inline("sets"))
+    doc = parsed_once(raw, F.col("struttura_allenamento"), WORKOUT_DOCUMENT, HEADER)
+    both = doc.select(*HEADER, F.inline(F.arrays_zip(
+        F.coalesce("esercizi", F.array()).alias("counted"),
+        F.coalesce("allenamento.esercizi", F.array()).alias("listed"),
+    )))
+    both = both.toDF(*HEADER, "counted", "listed")
+    apart = both.select(*HEADER, "counted", "listed", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_counted"))
+    apart = apart.filter(F.when(F.col("is_counted"), F.col("counted").isNotNull()).otherwise(F.col("listed").isNotNull()))
+    listed_sets = F.when(~F.col("is_counted"), F.col("listed.serie"))
+    named = apart.select(
+        *HEADER,
+        "is_counted",
+        F.coalesce(F.when(F.col("is_counted"), F.col("counted.nome")).otherwise(F.col("listed.nome")), F.lit("")).alias("nome"),
+        "counted",
+        F.posexplode_outer(listed_sets).alias("position", "listed_set"),
+    )
+    n = F.col("counted.serie")
+    repeats = (
+        F.when(~F.col("is_counted"), F.when(F.col("position").isNotNull(), F.sequence(F.lit(1).cast("bigint"), F.lit(1).cast("bigint"))))
+        .when(n > MAX_COUNTER, F.sequence(n, n))
+        .when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n))
+    )
+    numbered = named.select(*HEADER, "is_counted", "nome", "counted", "position", "listed_set", F.explode(repeats).alias("number"))
+
+    def value(counted: str, kind: str) -> Column:
+        chosen = F.when(F.col("is_counted"), F.col(f"counted.{counted}")).otherwise(F.col(f"listed_set.{counted}"))
+        return F.coalesce(chosen, F.lit(0)).cast(kind)
+
+    own_number = F.coalesce("listed_set.numero", F.col("position") + 1)
+    return numbered.select(
+        *HEADER,
+        "nome",
+        F.when(F.col("is_counted"), F.col("number")).otherwise(own_number).cast("bigint").alias("serie"),
+        value("ripetizioni", "bigint").alias("ripetizioni"),
+        value("recupero_secondi", "bigint").alias("recupero"),
+        value("carico_kg", "double").alias("carico"),
+    )
 
 
 def set_rules() -> Rules:

@@ -55,11 +55,12 @@ def sql_haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"(2 * 6371000.0::DOUBLE * atan2(sqrt({h}), sqrt(CASE WHEN {h} > 1 THEN 0 ELSE 1 - {h} END)))"
 
 
-EPOCH = F.lit("2024-01-01").cast("date")
+def _epoch() -> Column:
+    return F.lit("2024-01-01").cast("date")
 
 
 def _week(ts: str) -> Column:
-    return F.floor(F.datediff(F.to_date(ts), EPOCH) / 7).cast("bigint")
+    return F.floor(F.datediff(F.to_date(ts), _epoch()) / 7).cast("bigint")
 
 
 def _bpm() -> Column:
@@ -86,7 +87,7 @@ def anthropometric(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf, "customer").select(
         (F.floor(key / 10) + 1).cast("bigint").alias("athlete_id"),
-        F.date_add(EPOCH, ((key * 7) % 30).cast("int")).alias("data_rilevazione"),
+        F.date_add(_epoch(), ((key * 7) % 30).cast("int")).alias("data_rilevazione"),
         (F.lit(150) + key % 45).cast("int").alias("altezza_cm"),
         (F.lit(50) + (key * 7) % 60).cast("double").alias("peso_kg"),
     )
@@ -108,7 +109,7 @@ def workouts(spark: SparkSession, sf: str) -> DataFrame:
     """
     line = table(spark, sf, "lineitem")
     reps = F.col("l_quantity").cast("bigint")
-    load = F.round(F.col("l_extendedprice") / 100, 2)
+    load = F.floor("l_extendedprice") / 100
     name = F.concat("l_returnflag", "l_linestatus")
     main = F.struct(
         name.alias("nome"),
@@ -305,7 +306,7 @@ VIEWS = {
     # exercises as rows, without the detour over JSON
     "exercises": """
         SELECT *, CAST(l_quantity AS BIGINT) AS reps, 30 + (l_partkey % 24) * 10 AS rest,
-               round(l_extendedprice / 100, 2) AS load, l_returnflag || l_linestatus AS nome
+               floor(l_extendedprice) / 100 AS load, l_returnflag || l_linestatus AS nome
         FROM lineitem
         WHERE l_orderkey % 50 <> 0 AND l_orderkey % 51 <> 0 AND l_orderkey % 53 <> 0""",
     "all_sets": """
@@ -384,6 +385,8 @@ VIEWS = {
     "crisis": """
         SELECT * FROM drift WHERE drift_pct > 5
         QUALIFY row_number() OVER (PARTITION BY athlete_id, session_id ORDER BY "timestamp", sample_id) = 1""",
+    "newest_status": """
+        SELECT * FROM training_status QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY result_date DESC, created_at DESC) = 1""",
     "population": """
         SELECT c.*, m.peso_kg, m.altezza_cm, m.peso_kg / (m.altezza_cm * m.altezza_cm / 10000.0::DOUBLE) AS bmi,
                (SELECT count(DISTINCT session_id) FROM crisis k WHERE k.athlete_id = c.athlete_id) AS numero_corse
@@ -399,6 +402,7 @@ VIEWS = {
 }
 
 NEEDS = {
+    "newest_status": ("training_status",),
     "all_sets": ("exercises",),
     "good_sets": ("exercises", "all_sets"),
     "weekly_cardio": ("daily_loads",),

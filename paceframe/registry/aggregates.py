@@ -10,6 +10,7 @@ from paceframe.plans import dashboard, training_status, workout_elt
 from paceframe.registry import CATALOGUE as C
 from paceframe.registry import adapters as A
 from paceframe.registry.adapters import with_views
+from paceframe.runtime import written
 
 
 @C.add("D2_athlete_days", with_views("""
@@ -115,7 +116,7 @@ LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def _matrix_sql(source: str, columns: tuple[str, ...], with_n: bool) -> str:
     n = ", count(*) AS n" if with_n else ""
     cells = [
-        f"SELECT '{x}' AS x, '{y}' AS y, {'1.0::DOUBLE' if x == y else f'round(corr({x}, {y}), 6)'} AS r{n} FROM {source}"
+        f"SELECT '{x}' AS x, '{y}' AS y, {'1.0::DOUBLE' if x == y else f'round(corr({x}, {y}), 6)'} AS r{n} FROM {source} HAVING count(*) > 0"
         for x in columns for y in columns
     ]
     return " UNION ALL ".join(cells)
@@ -192,10 +193,11 @@ def _(spark, sf):
 
 
 def canonical_samples(spark, sf):
-    """Valid samples and end markers of the JSON records, with event time."""
+    """Valid samples and end markers of the JSON records, parsed once into a columnar archive."""
     from paceframe.streaming.ingest import heart_rate_events
 
-    return heart_rate_events(A.event_json(A.table(spark, sf, "events")))[0]
+    events, _ = heart_rate_events(A.event_json(A.table(spark, sf, "events")))
+    return written(events, "sample-archive")
 
 
 @C.add("D19_session_summary", with_views(f"""

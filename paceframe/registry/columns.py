@@ -357,10 +357,10 @@ def _(spark, sf):
 
 @C.add("H25_checked_casts", """
     SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 10 <= 255 THEN CAST(l_quantity * 10 AS INTEGER) END AS small,
-           CASE WHEN l_extendedprice / 100 <= 999.99 THEN round(l_extendedprice / 100, 2) END AS load
+           CASE WHEN floor(l_extendedprice) / 100 <= 999.99 THEN floor(l_extendedprice) / 100 END AS load
     FROM lineitem""")
 def _(spark, sf):
-    small, load = F.col("l_quantity") * 10, F.round(F.col("l_extendedprice") / 100, 2)
+    small, load = F.col("l_quantity") * 10, F.floor("l_extendedprice") / 100
     return A.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.when(small.between(0, 255), small.cast("int")).alias("small"),
         F.when(load <= 999.99, load.cast("decimal(5,2)")).cast("double").alias("load"),

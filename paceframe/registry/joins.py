@@ -48,14 +48,9 @@ def _(spark, sf):
     return people.join(counts, ["athlete_id"], "left").select("athlete_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-LATEST = """
+@C.add("C4_lateral_newest", with_views("""
     SELECT a.athlete_id, t.status, t.acwr, t.readiness, CAST(t.result_date AS VARCHAR) AS result_date
-    FROM athletes a LEFT JOIN (
-        SELECT * FROM training_status QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY result_date DESC, created_at DESC) = 1
-    ) t ON t.athlete_id = a.athlete_id"""
-
-
-@C.add("C4_lateral_newest", with_views(LATEST, "athletes", "training_status"))
+    FROM athletes a LEFT JOIN newest_status t ON t.athlete_id = a.athlete_id""", "athletes", "newest_status"))
 def _(spark, sf):
     found = joins.with_latest(
         A.athletes(spark, sf), A.training_status(spark, sf), "athlete_id", ["result_date", "created_at"]
@@ -193,14 +188,13 @@ def _(spark, sf):
 
 
 @C.add("L11_training_status", with_views("""
-    WITH newest AS (""" + LATEST + """)
     SELECT a.athlete_id, 'AT-' || CASE WHEN a.athlete_id > 999 THEN left(CAST(a.athlete_id AS VARCHAR), 3)
              ELSE lpad(CAST(a.athlete_id AS VARCHAR), 3, '0') END AS id,
            a.nome || ' ' || coalesce(a.cognome, '') AS name, lower(coalesce(n.status, 'amber')) AS status,
            coalesce(n.acwr, 0.0) AS acwr, coalesce(CAST(n.readiness AS INTEGER), 0) AS readiness,
            CASE lower(coalesce(n.status, 'amber')) WHEN 'red' THEN 'Recupero attivo' WHEN 'amber' THEN 'Carico controllato'
                 ELSE 'Sessione progressiva' END AS next_session
-    FROM athletes a JOIN newest n ON n.athlete_id = a.athlete_id""", "athletes", "training_status"))
+    FROM athletes a LEFT JOIN newest_status n ON n.athlete_id = a.athlete_id""", "athletes", "newest_status"))
 def _(spark, sf):
     return dashboard.training_status(A.athletes(spark, sf), A.training_status(spark, sf))
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import paceframe
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -60,3 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def send_by_value() -> None:
+    """Let Python workers receive this package's functions themselves, so it need not be installed there."""
+    cloudpickle.register_pickle_by_value(paceframe)

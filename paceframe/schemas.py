@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str, required: tuple[str, ...] = ()) -> T.StructType:
-    parsed = T.StructType.fromDDL(ddl)
-    return T.StructType([T.StructField(f.name, f.dataType, f.name not in required) for f in parsed])
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(),
+    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(), "decimal(9,6)": T.DecimalType(9, 6), "decimal(5,2)": T.DecimalType(5, 2),
+    "decimal(4,2)": T.DecimalType(4, 2),
+}
+
+
+def _schema(columns: str, required: tuple[str, ...] = ()) -> T.StructType:
+    """A struct type from ``name type`` pairs, built without a session so modules can be imported first."""
+    pairs = [column.split(" ") for column in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind], name not in required) for name, kind in pairs])
 
 
 RUNNING_SAMPLES = _schema(
@@ -93,13 +102,19 @@ HR_EVENT_ANY = _schema(
 
 # Workout document, both shapes: exercises at the top level with a set count, or nested below
 # "allenamento" with one entry per set.
-WORKOUT_DOCUMENT = _schema(
-    "tipo string, categoria string, "
-    "esercizi array<struct<nome: string, serie: bigint, ripetizioni: bigint, recupero_secondi: bigint, "
-    "carico_kg: double>>, "
-    "allenamento struct<esercizi: array<struct<nome: string, serie: array<struct<numero: bigint, "
-    "ripetizioni: bigint, recupero_secondi: bigint, carico_kg: double>>>>>"
-)
+_COUNTED = _schema("nome string, serie bigint, ripetizioni bigint, recupero_secondi bigint, carico_kg double")
+_LISTED = T.StructType([
+    T.StructField("nome", T.StringType()),
+    T.StructField(
+        "serie", T.ArrayType(_schema("numero bigint, ripetizioni bigint, recupero_secondi bigint, carico_kg double"))
+    ),
+])
+WORKOUT_DOCUMENT = T.StructType([
+    T.StructField("tipo", T.StringType()),
+    T.StructField("categoria", T.StringType()),
+    T.StructField("esercizi", T.ArrayType(_COUNTED)),
+    T.StructField("allenamento", T.StructType([T.StructField("esercizi", T.ArrayType(_LISTED))])),
+])
 
 KAFKA_RECORD = _schema(
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"

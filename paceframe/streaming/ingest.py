@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceframe.functions.documents import parse_json
+from paceframe.functions.documents import parsed_once
 from paceframe.operators.quality import canonical_events, event_rules, split_valid
 
 
 def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
     """The fields of a JSON value with a declared schema; a malformed value gives NULL fields."""
-    return records.select(parse_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
+    return parsed_once(records, F.col("value").cast("string"), schema)
 
 
 def decode_strict(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -22,10 +22,9 @@ def decode_strict(records: DataFrame, schema: T.StructType) -> tuple[DataFrame,
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     text = F.col("value").cast("string")
-    parsed = records.select(text.alias("raw"), parse_json(text, with_corrupt).alias("data"))
-    bad = F.col("data").isNull() | F.col("data._corrupt_record").isNotNull()
-    good = parsed.filter(~bad).select(*[F.col(f"data.{f.name}").alias(f.name) for f in schema.fields])
-    return good, parsed.filter(bad).select("raw")
+    parsed = parsed_once(records, text, with_corrupt, [text.alias("raw")])
+    bad = F.col("raw").isNull() | F.col("_corrupt_record").isNotNull()
+    return parsed.filter(~bad).select(*schema.names), parsed.filter(bad).select("raw")
 
 
 def heart_rate_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
