@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from paceframe.config import EARTH_RADIUS_M, DetectorConfig
 from paceframe.functions.text import alarm_text
 from paceframe.operators.sessions import SESSION, unique_events
-from paceframe.operators.skew import chunk_with_halo, dense_position, split_hot
+from paceframe.operators.skew import chunk_with_halo, dense_position, hot_keys, split_hot
 from paceframe.runtime import send_by_value, written
 
 send_by_value()
@@ -165,14 +165,15 @@ def stillness_alerts(events: DataFrame, cfg: DetectorConfig = DetectorConfig())
         F.col("sample_index").cast("bigint").alias("sample_index"),
         *[F.col(c).cast("double").alias(c) for c in COLUMNS[1:]],
     )
-    ordinary, big = split_hot(slim, SESSION, cfg.hot.max_rows)
+    some_hot = not hot_keys(slim, SESSION, cfg.hot.max_rows).isEmpty()
+    ordinary, big = split_hot(slim, SESSION, cfg.hot.max_rows) if some_hot else (slim, None)
     ordered = (
         unique_events(ordinary.repartition(*SESSION))
         .sortWithinPartitions(*SESSION, "sample_index")
         .select(*SESSION, *COLUMNS)
     )
     alerts = ordered.mapInPandas(_scan_partition(cfg), ALERT_SCHEMA)
-    if not big.isEmpty():
+    if big is not None:
         alerts = alerts.unionByName(_hot_alerts(big, cfg))
     message = alarm_text(*[F.col(c) for c in ("athlete_id", "still_for", "latitude", "longitude", "heart_rate_bpm")])
     return alerts.withColumn("message", message)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import safe_corr
+from paceframe.runtime import written
 
 MAX_EXERCISES = 64
 
@@ -36,12 +37,13 @@ def exercise_matrix(sets: DataFrame, exercises: Sequence[str]) -> DataFrame:
 
     Pairs use the days with both exercises (definition ours); an undefined pair is NULL.
     Days with a single exercise only count; they skip the wide aggregation of the pairs.
+    Starts a job: the daily means feed two aggregations and are written once.
     """
     n = len(exercises)
     if n < 2:
         raise ValueError("a correlation matrix needs at least two exercises")
     pairs = {(i, j): safe_corr(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in combinations(range(n), 2)}
-    daily = daily_loads(sets, exercises)
+    daily = written(daily_loads(sets, exercises), "daily-loads")
     present = sum((F.col(f"x{i}").isNotNull().cast("int") for i in range(n)), F.lit(0))
     days = daily.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("rows"))
     related = daily.filter(present >= 2).groupBy("athlete_id").agg(*pairs.values())

@@ -135,7 +135,7 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def run_load(workouts: DataFrame, paths: LoadPaths, files_per_month: int = 1) -> DataFrame:
+def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     """One load: stage, check, transform, append, reconcile, empty staging.
 
     Returns the control row: waiting rows, first and last id, sets written, rows quarantined
@@ -156,7 +156,7 @@ def run_load(workouts: DataFrame, paths: LoadPaths, files_per_month: int = 1) ->
     sets, rejected = workout_sets(pending)
     sort = ["data_allenamento", "athlete_id", "allenamento_id"]
     before = target.count()
-    write_monthly(sets, paths.target, "data_allenamento", sort, files_per_month=files_per_month)
+    write_monthly(sets, paths.target, "data_allenamento", sort)
     known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
     new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
     written_rows = spark.read.schema(set_schema).parquet(paths.target).count() - before

@@ -26,18 +26,15 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_monthly(df: DataFrame, path: str, ts: str, sort: Sequence[str], mode: str = "append",
-                  files_per_month: int = 1) -> None:
+def write_monthly(df: DataFrame, path: str, ts: str, sort: Sequence[str], mode: str = "append") -> None:
     """A table partitioned by month and sorted by key inside each file.
 
-    A month may hold most of the rows, so rows are spread over ``files_per_month`` salted
-    parts rather than sent to one task per month; AQE's rebalance splits parts that are
-    still too large and merges small ones.
+    Rows are rebalanced by month at run time: AQE splits a month that holds most of the rows
+    over several tasks and merges small months, so neither one huge task nor a flood of
+    small files results.
     """
-    staged = df.withColumn("ym", month_number(F.col(ts)))
-    salt = F.pmod(F.xxhash64(*sort), F.lit(files_per_month))
-    spread = staged.withColumn("_salt", salt).hint("rebalance", F.col("ym"), F.col("_salt")).drop("_salt")
-    spread.sortWithinPartitions("ym", *sort).write.mode(mode).partitionBy("ym").parquet(path)
+    staged = df.withColumn("ym", month_number(F.col(ts))).hint("rebalance", F.col("ym"))
+    staged.sortWithinPartitions("ym", *sort).write.mode(mode).partitionBy("ym").parquet(path)
 
 
 def distribute(df: DataFrame, key: str, parts: int) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paceframe.config import DetectorConfig
 from paceframe.functions.text import alarm_text
 from paceframe.operators.stillness import metres, scan
+from paceframe.schemas import table_schema
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
@@ -27,6 +29,8 @@ STATE = (
     "sum_speed double, max_speed double, distance_m double, last_ms bigint, timer_ms bigint"
 )
 FIELDS = [part.split()[0] for part in STATE.split(", ")]
+# a struct type, because a DDL string would be parsed again by the JVM at every state access
+STATE_TYPE = table_schema(STATE)
 
 
 def fresh() -> dict:
@@ -46,12 +50,12 @@ def absorb(s: dict, row: tuple, cfg: DetectorConfig) -> tuple | None:
     s["n"] += 1
     s["sum_hr"] += bpm
     s["max_hr"] = bpm if s["max_hr"] is None else max(s["max_hr"], bpm)
-    if cadence == cadence:
+    if cadence is not None:
         s["n_cad"] += 1
         s["sum_cad"] += cadence
     if s["last_idx"] is not None and index <= s["last_idx"]:
         return None
-    placed = lat == lat and lon == lon
+    placed = lat is not None and lon is not None
     if placed and s["last_lat"] is not None:
         step = metres(s["last_lat"], s["last_lon"], lat, lon)
         speed = step / ((index - s["last_idx"]) * cfg.seconds_per_index)
@@ -64,9 +68,10 @@ def absorb(s: dict, row: tuple, cfg: DetectorConfig) -> tuple | None:
     anchor = None
     if s["anchor_lat"] is not None:
         anchor = (s["anchor_lat"], s["anchor_lon"], s["anchor_idx"], s["alarmed"])
+    if not placed:
+        return None
     anchor, alerts = scan(iter([(index, lat, lon, bpm)]), anchor, cfg)
-    if anchor is not None:
-        s["anchor_lat"], s["anchor_lon"], s["anchor_idx"], s["alarmed"] = anchor
+    s["anchor_lat"], s["anchor_lon"], s["anchor_idx"], s["alarmed"] = anchor
     return alerts[0] if alerts else None
 
 
@@ -84,69 +89,75 @@ def summary(s: dict, cfg: DetectorConfig) -> tuple:
     )
 
 
+def _row(*values) -> Row:
+    return Row(**dict(zip_longest(NAMES, values)))
+
+
+def _summary_row(key: tuple, s: dict, reason: str, cfg: DetectorConfig) -> Row:
+    return _row("summary", *key, *[None] * 5, *summary(s, cfg), reason)
+
+
 class SessionProcessor(StatefulProcessor):
     """State of one (athlete, session): anchor, alarm flag and running sums.
 
     Rows of a micro-batch are put in event order first. The end marker emits the summary and
-    clears the state; a session without one is closed by an event-time timer.
+    clears the state; a session without one is closed by an event-time timer. Plain rows, not
+    data frames, go in and out: a micro-batch holds few rows per session, so building a frame
+    per session would cost more than the work on it.
     """
 
-    def __init__(self, cfg: DetectorConfig, timers: bool = True):
+    def __init__(self, cfg: DetectorConfig):
         self.cfg = cfg
-        self.idle_ms = int(pd.Timedelta(cfg.idle_timeout).total_seconds() * 1000) if timers else 0
+        self.idle_ms = int(pd.Timedelta(cfg.idle_timeout).total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        """Declare the state."""
         self.handle = handle
-        self.state = handle.getValueState("session", STATE)
+        self.state = handle.getValueState("session", STATE_TYPE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one session's rows of one micro-batch, bounded by the source's cap per trigger
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["_end"] = pdf["event_type"] == "session_end"
-        pdf = pdf.sort_values(["event_ms", "sample_index", "_end"], kind="stable")
+    def _load(self) -> dict | None:
         stored = self.state.get()
-        s = dict(zip(FIELDS, stored, strict=True)) if stored is not None else fresh()
-        columns = ["_end", "event_ms", "sample_index", "latitude", "longitude", "heart_rate_bpm", "cadence_spm"]
-        out: list[tuple] = []
-        for end, when, *sample in zip(*(pdf[c].tolist() for c in columns), strict=True):
-            if end:
-                out.append(self._summary_row(key, s, "session_end"))
+        return None if stored is None else dict(zip(FIELDS, stored, strict=True))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Advance the session by its rows of a micro-batch."""
+        stored = self._load()
+        s = stored or fresh()
+        # one session's rows of one micro-batch, bounded by the source's cap per trigger
+        for r in sorted(rows, key=lambda r: (r.event_ms, r.sample_index, r.is_end)):
+            if r.is_end:
+                yield _summary_row(key, s, "session_end", self.cfg)
                 s = fresh()
                 continue
-            s["last_ms"] = max(s["last_ms"] or 0, int(when))
-            alarm = absorb(s, (int(sample[0]), *sample[1:]), self.cfg)
+            s["last_ms"] = max(s["last_ms"] or 0, r.event_ms)
+            alarm = absorb(s, (r.sample_index, r.latitude, r.longitude, r.heart_rate_bpm, r.cadence_spm), self.cfg)
             if alarm:
-                out.append(("alert", key[0], key[1], *alarm, *[None] * 9))
+                yield _row("alert", *key, *alarm)
         if s["n"]:
-            if self.idle_ms and s["timer_ms"] is None:
+            if s["timer_ms"] is None:
                 s["timer_ms"] = s["last_ms"] + self.idle_ms
                 self.handle.registerTimer(s["timer_ms"])
             self.state.update(tuple(s[f] for f in FIELDS))
         elif stored is not None:
             self.state.clear()
-        yield pd.DataFrame(out, columns=NAMES)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stored = self.state.get()
-        out: list[tuple] = []
-        if stored is not None:
-            s = dict(zip(FIELDS, stored, strict=True))
-            due = s["last_ms"] + self.idle_ms
-            if due > expiredTimerInfo.getExpiryTimeInMs():
-                s["timer_ms"] = due
-                self.handle.registerTimer(due)
-                self.state.update(tuple(s[f] for f in FIELDS))
-            else:
-                out.append(self._summary_row(key, s, "timeout"))
-                self.state.clear()
-        yield pd.DataFrame(out, columns=NAMES)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Close an idle session, or move the timer when samples came in since it was set."""
+        s = self._load()
+        if s is None:
+            return
+        due = s["last_ms"] + self.idle_ms
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            s["timer_ms"] = due
+            self.handle.registerTimer(due)
+            self.state.update(tuple(s[f] for f in FIELDS))
+        else:
+            yield _summary_row(key, s, "timeout", self.cfg)
+            self.state.clear()
 
     def close(self) -> None:
         """Nothing is held outside the state store."""
 
-    def _summary_row(self, key: tuple, s: dict, reason: str) -> tuple:
-        return ("summary", key[0], key[1], *[None] * 5, *summary(s, self.cfg), reason)
-
 
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep streaming state on executor disk with a changelog in the checkpoint, not on the heap."""
@@ -160,13 +171,14 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), late_by: s
     Keyed by athlete and session, so the result does not depend on the broker's message key.
     """
     slim = events.select(
-        "athlete_id", "session_id", "event_time", F.unix_millis("event_time").alias("event_ms"), "event_type", "sample_index", "latitude", "longitude",
+        "athlete_id", "session_id", "event_time", F.unix_millis("event_time").alias("event_ms"),
+        (F.col("event_type") == "session_end").alias("is_end"), "sample_index", "latitude", "longitude",
         "heart_rate_bpm", "cadence_spm",
     )
     tagged = (
         slim.withWatermark("event_time", late_by)
         .groupBy("athlete_id", "session_id")
-        .transformWithStateInPandas(SessionProcessor(cfg), OUTPUT, "append", "eventtime")
+        .transformWithState(SessionProcessor(cfg), OUTPUT, "append", "eventtime")
     )
     message = alarm_text(*[F.col(c) for c in ("athlete_id", "still_for", "latitude", "longitude", "heart_rate_bpm")])
     return tagged.withColumn("message", F.when(F.col("kind") == "alert", message))
