@@ -118,7 +118,7 @@ def canonical_events(raw: DataFrame, value: str = "value", keep: tuple[str, ...]
         "timestamp",
         parse_integer(pick("sample_index", "sample_id")).alias("sample_index"),
         F.when(kind.isin("end", "session_end"), "session_end").otherwise("sample").alias("event_type"),
-        (F.col("raw").isNull() | F.col("_corrupt_record").isNotNull()).alias("malformed"),
+        (~given(F.col("raw")) | F.col("_corrupt_record").isNotNull()).alias("malformed"),
         "raw",
     )
 

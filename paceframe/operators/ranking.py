@@ -31,6 +31,6 @@ def population_rank(df: DataFrame, column: str, scale: int = 1_000_000, buckets:
     return joined.select(
         *df.columns,
         percent.alias("percent_rank"),
-        F.least(F.lit(buckets), F.floor(percent * buckets) + 1).cast("int").alias("percentile"),
+        F.when(percent.isNotNull(), F.least(F.lit(buckets), F.floor(percent * buckets) + 1)).cast("int").alias("percentile"),
         ratio(F.col(column) - F.col("_s.mean"), F.col("_s.sd")).alias("z_score"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceframe.functions.documents import parsed_once
-from paceframe.operators.quality import canonical_events, event_rules, split_valid
+from paceframe.operators.quality import canonical_events, event_rules, given, split_valid
 
 
 def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
@@ -23,7 +23,7 @@ def decode_strict(records: DataFrame, schema: T.StructType) -> tuple[DataFrame,
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     text = F.col("value").cast("string")
     parsed = parsed_once(records, text, with_corrupt, [text.alias("raw")])
-    bad = F.col("raw").isNull() | F.col("_corrupt_record").isNotNull()
+    bad = ~given(F.col("raw")) | F.col("_corrupt_record").isNotNull()
     return parsed.filter(~bad).select(*schema.names), parsed.filter(bad).select("raw")
 
 
