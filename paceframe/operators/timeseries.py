@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceframe.config import DriftConfig
 from paceframe.functions.geo import haversine_m
@@ -29,16 +30,30 @@ def with_previous_point(df: DataFrame, by: list[str], order: str = "sample_id")
     )
 
 
+def trailing_mean(df: DataFrame, column: str, name: str, w: WindowSpec, n_prev: int) -> DataFrame:
+    """Add the mean of the current and the ``n_prev`` rows before it.
+
+    Spark adds up every row of a sliding frame again for each row. For whole numbers the
+    same mean comes exactly from running totals at constant cost per row; other numbers keep
+    the frame, because differences of running totals would round.
+    """
+    if not isinstance(df.schema[column].dataType, T.IntegralType) or n_prev < 4:
+        return df.select("*", F.avg(column).over(w.rowsBetween(-n_prev, Window.currentRow)).alias(name))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.coalesce(F.sum(column).over(so_far), F.lit(0))
+    totals = df.select("*", total.alias("_sum"), F.count(column).over(so_far).alias("_n"))
+    gone = [F.lag(c, n_prev + 1, 0).over(w).alias(f"_old{c}") for c in ("_sum", "_n")]
+    differences = totals.select("*", *gone)
+    mean = ratio(F.col("_sum") - F.col("_old_sum"), F.col("_n") - F.col("_old_n"))
+    return differences.withColumn(name, mean).drop("_sum", "_n", "_old_sum", "_old_n")
+
+
 def _efficiency(df: DataFrame, by: list[str], cfg: DriftConfig) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("sample_id")
-    trailing = w.rowsBetween(-cfg.n_prev, Window.currentRow)
     step = haversine_m(F.col("prev_latitude"), F.col("prev_longitude"), F.col("latitude"), F.col("longitude"))
     moved = with_previous_point(df, by).select("*", (step / F.lit(cfg.sample_period_s)).alias("speed_ms"))
-    smooth = moved.select(
-        "*",
-        F.avg("speed_ms").over(trailing).alias("mean_speed"),
-        F.avg("heart_rate").over(trailing).alias("mean_heart_rate"),
-    )
+    smooth = trailing_mean(moved, "speed_ms", "mean_speed", w, cfg.n_prev)
+    smooth = trailing_mean(smooth, "heart_rate", "mean_heart_rate", w, cfg.n_prev)
     return smooth.select("*", ratio(F.col("speed_ms"), F.col("mean_heart_rate")).alias("efficiency"))
 
 

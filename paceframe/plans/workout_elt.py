@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceframe.functions.documents import parsed_once
 from paceframe.operators.joins import new_rows_only
@@ -100,11 +103,16 @@ def set_rules() -> Rules:
 
 
 def workout_sets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the final table, rows out of range with reasons).
+    """(rows of the final table, rows out of range with reasons) of staged workouts."""
+    return checked_sets(expand_sets(raw))
+
+
+def checked_sets(expanded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split expanded sets into final rows and quarantine.
 
     Out-of-range counters are quarantined, not wrapped; loads round half up to two decimals.
     """
-    valid, rejected = split_valid(expand_sets(raw), set_rules())
+    valid, rejected = split_valid(expanded, set_rules())
     final = valid.select(
         "allenamento_id", "athlete_id", "data_allenamento",
         F.col("nome").alias("nome_esercizio"),
@@ -126,9 +134,7 @@ class LoadPaths:
     quarantine: str
 
 
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -151,15 +157,22 @@ def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     rows_to_stage(workouts, target, staged).write.mode("append").parquet(paths.staging)
 
     staged = spark.read.schema(raw_schema).parquet(paths.staging)
-    pending = new_rows_only(staged, target.select("allenamento_id").distinct(), "allenamento_id")
     control = load_control(staged).first()
-    sets, rejected = workout_sets(pending)
-    sort = ["data_allenamento", "athlete_id", "allenamento_id"]
-    before = target.count()
-    write_monthly(sets, paths.target, "data_allenamento", sort)
-    known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
-    new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
-    written_rows = spark.read.schema(set_schema).parquet(paths.target).count() - before
+    # only the staged range of the target is looked at: the bounds reach its scan
+    in_range = F.col("allenamento_id").between(control["first_id"], control["last_id"])
+    pending = new_rows_only(staged, target.filter(in_range).select("allenamento_id").distinct(), "allenamento_id")
+    # one parse feeds both writes; lost blocks are recomputed from staging
+    expanded = expand_sets(pending).persist(StorageLevel.DISK_ONLY)
+    try:
+        sets, rejected = checked_sets(expanded)
+        sort = ["data_allenamento", "athlete_id", "allenamento_id"]
+        before = target.filter(in_range).count()
+        write_monthly(sets, paths.target, "data_allenamento", sort)
+        known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
+        new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
+    finally:
+        expanded.unpersist()
+    written_rows = spark.read.schema(set_schema).parquet(paths.target).filter(in_range).count() - before
     truncate(spark, paths.staging, raw_schema)
     left = spark.read.schema(raw_schema).parquet(paths.staging).count()
     return spark.createDataFrame(
@@ -168,9 +181,7 @@ def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     )
 
 
-def _ntz(schema):
-    from pyspark.sql import types as T
-
+def _ntz(schema: T.StructType) -> T.StructType:
     return T.StructType([
         T.StructField(f.name, T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
         for f in schema

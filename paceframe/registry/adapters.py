@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceframe.sources.files import spread_small_scan
+
 TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str, by: str) -> DataFrame:
+    """A driver table for work that is heavy per row: a small scan is shared by all cores."""
+    return spread_small_scan(table(spark, sf, name), by)
+
+
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     return spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -107,7 +114,7 @@ def workouts(spark: SparkSession, sf: str) -> DataFrame:
 
     The JSON is built per row from the line item, so no group of rows is ever collected.
     """
-    line = table(spark, sf, "lineitem")
+    line = wide_table(spark, sf, "lineitem", "l_partkey")
     reps = F.col("l_quantity").cast("bigint")
     load = F.floor("l_extendedprice") / 100
     name = F.concat("l_returnflag", "l_linestatus")

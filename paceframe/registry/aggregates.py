@@ -52,7 +52,7 @@ WORDS = r"""
 
 @C.add("D6_word_count", WORDS)
 def _(spark, sf):
-    return rollups.word_counts(A.table(spark, sf, "documents"), "text")
+    return rollups.word_counts(A.wide_table(spark, sf, "documents", "doc_id"), "text")
 
 
 @C.add("D7_load_control", """
@@ -196,7 +196,7 @@ def canonical_samples(spark, sf):
     """Valid samples and end markers of the JSON records, parsed once into a columnar archive."""
     from paceframe.streaming.ingest import heart_rate_events
 
-    events, _ = heart_rate_events(A.event_json(A.table(spark, sf, "events")))
+    events, _ = heart_rate_events(A.event_json(A.wide_table(spark, sf, "events", "event_id")))
     return written(events, "sample-archive")
 
 
@@ -295,5 +295,5 @@ def _(spark, sf):
 @C.add("I6_malformed_split", with_views("""
     SELECT count_if(malformed) AS malformed, count_if(NOT malformed) AS kept FROM hr_records""", "hr_records"))
 def _(spark, sf):
-    events = canonical_events(A.event_json(A.table(spark, sf, "events")))
+    events = canonical_events(A.event_json(A.wide_table(spark, sf, "events", "event_id")))
     return events.agg(F.count_if("malformed").alias("malformed"), F.count_if(~F.col("malformed")).alias("kept"))

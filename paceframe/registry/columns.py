@@ -194,7 +194,7 @@ def _(spark, sf):
            CASE WHEN NOT is_end THEN bpm END AS heart_rate_bpm, CASE WHEN NOT is_end THEN cadence END AS cadence_spm
     FROM hr_records WHERE NOT malformed""", "hr_records"))
 def _(spark, sf):
-    events = quality.canonical_events(A.event_json(A.table(spark, sf, "events")))
+    events = quality.canonical_events(A.event_json(A.wide_table(spark, sf, "events", "event_id")))
     return events.filter(~F.col("malformed")).select(
         "athlete_id", "session_id", "sample_index", "event_type", "heart_rate_bpm", "cadence_spm"
     )
@@ -349,7 +349,7 @@ def _(spark, sf):
 def _(spark, sf):
     from paceframe.streaming.ingest import decode
 
-    rows = decode(A.metric_json(A.table(spark, sf, "events")), METRICS_EVENT).filter(F.col("workout_id").isNotNull())
+    rows = decode(A.metric_json(A.wide_table(spark, sf, "events", "event_id")), METRICS_EVENT).filter(F.col("workout_id").isNotNull())
     return rows.groupBy(F.col("athlete_id").cast("bigint").alias("athlete_id")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("power"), 6).alias("power"), F.max("heart_rate").alias("heart_rate")
     )

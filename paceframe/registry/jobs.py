@@ -151,4 +151,4 @@ def _(spark, sf):
 
 @C.add("L12_word_count_report", WORDS + " ORDER BY 2 DESC, 1")
 def _(spark, sf):
-    return text.word_count_report(A.table(spark, sf, "documents"), "text")
+    return text.word_count_report(A.wide_table(spark, sf, "documents", "doc_id"), "text")

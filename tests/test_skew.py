@@ -135,3 +135,15 @@ def test_population_rank_with_ties_and_one_row(spark):
     assert found[5] == (None, None)
     alone = population_rank(df.filter("id = 1"), "v").first()
     assert (alone.percent_rank, alone.percentile, alone.z_score) == (0.0, 1, None)
+
+
+@pytest.mark.parametrize("n_prev", [4, 60])
+def test_running_totals_give_the_frame_mean(spark, n_prev):
+    from pyspark.sql import Window
+
+    rng = random.Random(n_prev)
+    df = spark.createDataFrame([(i % 3, i, None if rng.random() < 0.3 or i < 20 else rng.randint(40, 220)) for i in range(300)], "k int, i int, v int")
+    w = Window.partitionBy("k").orderBy("i")
+    both = timeseries.trailing_mean(df, "v", "fast", w, n_prev)
+    both = both.withColumn("slow", F.avg("v").over(w.rowsBetween(-n_prev, 0)))
+    assert both.filter(~F.col("fast").eqNullSafe(F.col("slow"))).count() == 0
