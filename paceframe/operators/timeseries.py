@@ -11,7 +11,7 @@ from paceframe.functions.geo import haversine_m
 from paceframe.functions.numbers import ratio
 from paceframe.operators.dedupe import first_per_key
 from paceframe.operators.quality import all_present
-from paceframe.operators.skew import over_sessions
+from paceframe.operators.skew import chunk_with_halo, dense_position, over_sessions, split_hot
 
 SESSION = ["athlete_id", "session_id"]
 REQUIRED = ["athlete_id", "session_id", "sample_id", "heart_rate", "latitude", "longitude", "timestamp"]
@@ -22,6 +22,10 @@ def unique_samples(samples: DataFrame) -> DataFrame:
     return first_per_key(samples, [*SESSION, "sample_id"], ["timestamp"])
 
 
+def _clean(samples: DataFrame) -> DataFrame:
+    return unique_samples(samples).filter(all_present(REQUIRED))
+
+
 def with_previous_point(df: DataFrame, by: list[str], order: str = "sample_id") -> DataFrame:
     """Add the previous latitude and longitude within the session."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -63,14 +67,9 @@ def session_features(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> Da
     Rows lacking a required field go after the choice among duplicates. Ordinary sessions
     cost one exchange: dedupe, lag and both frames share its partitioning and one sort.
     """
-    slim = samples.select(*REQUIRED)
-
-    def clean(frame: DataFrame) -> DataFrame:
-        return unique_samples(frame).filter(all_present(REQUIRED))
-
     # the frame needs n_prev earlier rows, and the first of these its own predecessor
     return over_sessions(
-        slim, SESSION, "sample_id", cfg.n_prev + 1, lambda f, by: _efficiency(f, by, cfg), cfg.hot, clean
+        samples.select(*REQUIRED), SESSION, "sample_id", cfg.n_prev + 1, lambda f, by: _efficiency(f, by, cfg), cfg.hot, _clean
     ).drop("prev_latitude", "prev_longitude")
 
 
@@ -81,54 +80,39 @@ def session_baseline(features: DataFrame) -> DataFrame:
 
 
 def with_drift(features: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
-    """Add the session baseline and the percentage change of efficiency against it.
-
-    The baseline is the first non-NULL efficiency: the first row of a session has no
-    previous point, so its efficiency is NULL and cannot be the reference value.
-    """
-    joined = features.join(session_baseline(features), SESSION, "left")
-    drift = ratio((F.col("efficiency") - F.col("baseline")), F.col("baseline")) * 100
-    return joined.withColumn("drift_pct", F.round(drift, cfg.drift_decimals))
-
+    """Add the percentage change of efficiency against the column ``baseline``."""
+    change = ratio(F.col("efficiency") - F.col("baseline"), F.col("baseline")) * 100
+    return features.withColumn("drift_pct", F.round(change, cfg.drift_decimals))
 
-def crisis_points(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
-    """Earliest sample of each session whose drift exceeds the threshold (strictly).
 
-    Baseline and crisis point come from the same pass over an ordinary session; see
-    ``_drift_branches`` for how hot sessions get there without a window over the session.
-    """
-    drifted = _drift_branches(samples, cfg)
-    first = F.min(F.struct("timestamp", "sample_id", "mean_speed", "drift_pct")).alias("first")
-    found = drifted.filter(F.col("drift_pct") > cfg.crisis_pct).groupBy(*SESSION).agg(first)
-    return found.select(*SESSION, "first.timestamp", "first.sample_id", "first.mean_speed", "first.drift_pct")
+def drifted_samples(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """Session features with the session's baseline and the drift against it.
 
-
-def _drift_branches(samples: DataFrame, cfg: DriftConfig) -> DataFrame:
-    """Features with drift for all sessions.
+    The baseline is the first non-NULL efficiency: the first row of a session has no
+    previous point, so its efficiency is NULL and cannot be the reference value.
 
     Ordinary sessions read the baseline with ``first(ignorenulls)`` over the frame that is
     already sorted, so nothing is shuffled again. A piece of a hot session does not see the
     session's start; its baseline is a partial aggregate joined back by broadcast (one row
     per hot session, at most rows / max_rows of them).
     """
-    from paceframe.operators.skew import chunk_with_halo, dense_position, split_hot
-
     ordinary, big = split_hot(samples.select(*REQUIRED), SESSION, cfg.hot.max_rows)
+    w = Window.partitionBy(*SESSION).orderBy("sample_id")
+    plain = _efficiency(_clean(ordinary.repartition(*SESSION)), SESSION, cfg)
+    plain = plain.select("*", F.first("efficiency", ignorenulls=True).over(w).alias("baseline"))
 
-    def clean(frame: DataFrame) -> DataFrame:
-        return unique_samples(frame).filter(all_present(REQUIRED))
+    cut = chunk_with_halo(dense_position(_clean(big), SESSION, "sample_id"), cfg.hot.chunk_rows, cfg.n_prev + 1)
+    pieces = _efficiency(cut, [*SESSION, "_chunk"], cfg).filter(~F.col("_halo"))
+    pieces = pieces.join(F.broadcast(session_baseline(pieces)), SESSION, "left")
+    both = plain.unionByName(pieces.select(*plain.columns))
+    return with_drift(both, cfg).drop("prev_latitude", "prev_longitude")
 
-    def drift(frame: DataFrame) -> DataFrame:
-        change = ratio(F.col("efficiency") - F.col("baseline"), F.col("baseline")) * 100
-        return frame.select(
-            *SESSION, "timestamp", "sample_id", "mean_speed", F.round(change, cfg.drift_decimals).alias("drift_pct")
-        )
 
-    w = Window.partitionBy(*SESSION).orderBy("sample_id")
-    plain = _efficiency(clean(ordinary.repartition(*SESSION)), SESSION, cfg)
-    plain = drift(plain.select("*", F.first("efficiency", ignorenulls=True).over(w).alias("baseline")))
+def crisis_points(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """Earliest sample of each session whose drift exceeds the threshold (strictly).
 
-    cut = chunk_with_halo(dense_position(clean(big), SESSION, "sample_id"), cfg.hot.chunk_rows, cfg.n_prev + 1)
-    pieces = _efficiency(cut, [*SESSION, "_chunk"], cfg).filter(~F.col("_halo"))
-    pieces = drift(pieces.join(F.broadcast(session_baseline(pieces)), SESSION, "left"))
-    return plain.unionByName(pieces)
+    The minimum of a struct led by time combines map-side; no window over the session is sorted again.
+    """
+    first = F.min(F.struct("timestamp", "sample_id", "mean_speed", "drift_pct")).alias("first")
+    found = drifted_samples(samples, cfg).filter(F.col("drift_pct") > cfg.crisis_pct).groupBy(*SESSION).agg(first)
+    return found.select(*SESSION, "first.timestamp", "first.sample_id", "first.mean_speed", "first.drift_pct")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceframe.config import DriftConfig
 from paceframe.operators.rollups import time_in_zone
-from paceframe.operators.timeseries import session_features, with_drift
+from paceframe.operators.timeseries import drifted_samples
 
 
 def post_session(samples: DataFrame, athlete_id: int, session_id: int, cfg: DriftConfig = DriftConfig()) -> DataFrame:
@@ -16,7 +16,7 @@ def post_session(samples: DataFrame, athlete_id: int, session_id: int, cfg: Drif
     The key filter reaches the scan, so only that session's files and row groups are read.
     """
     own = samples.filter((F.col("athlete_id") == athlete_id) & (F.col("session_id") == session_id))
-    features = with_drift(session_features(own, cfg), cfg)
+    features = drifted_samples(own, cfg)
     summary = features.groupBy("athlete_id", "session_id").agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.avg("speed_ms").alias("mean_speed"),

@@ -193,4 +193,4 @@ def _(spark, sf):
         F.col("o_custkey").alias("athlete_id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value")
     )
     sinks.run_available(rows, sinks.upsert_sink(path, ["athlete_id"], "version"), "upserts")
-    return sinks.latest_generation(spark, path, rows.schema)
+    return sinks.read_upserted(spark, path, rows.schema, ["athlete_id"], ["version"])

@@ -43,7 +43,7 @@ def _(spark, sf):
 @C.add("E4_drift_percent", with_views("""
     SELECT sample_id, round(drift_pct, 6) AS drift_pct FROM drift""", "drift"))
 def _(spark, sf):
-    f = timeseries.with_drift(timeseries.session_features(A.running_samples(spark, sf)))
+    f = timeseries.drifted_samples(A.running_samples(spark, sf))
     return f.select("sample_id", F.round("drift_pct", 6).alias("drift_pct"))
 
 

@@ -13,11 +13,20 @@ import paceframe
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def build_session(app_name: str = "paceframe", master: str | None = None, **conf: str) -> SparkSession:
+def shuffle_bound(input_bytes: int, partition_bytes: int = 128 * 1024**2) -> int:
+    """Shuffle partitions that keep one partition of the whole input near ``partition_bytes``."""
+    return max(200, -(-input_bytes // partition_bytes))
+
+
+def build_session(
+    app_name: str = "paceframe", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the operators assume: UTC, AQE, skew-join handling.
 
-    Partition counts are left to AQE: ``initialPartitionNum`` is only an upper bound that
-    is coalesced to ~128 MB partitions at run time.
+    ``input_bytes``, the size of the largest input, sets the upper bound of shuffle
+    partitions; AQE merges small partitions at run time, so a generous bound is cheap while
+    the default of 200 would make partitions of hundreds of GB out of 100 TB. Other settings
+    are keyword arguments with ``__`` for dots.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -28,6 +37,9 @@ def build_session(app_name: str = "paceframe", master: str | None = None, **conf
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    if input_bytes:
+        bound = str(shuffle_bound(input_bytes))
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", bound)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

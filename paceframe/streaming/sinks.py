@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from paceframe.operators.dedupe import upsert
+from paceframe.operators.dedupe import latest_per_key
 from paceframe.runtime import scratch_path
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -72,35 +72,33 @@ def detector_sink(alerts_path: str, summaries_path: str) -> BatchWriter:
 
 
 def upsert_sink(path: str, keys: list[str], version: str) -> BatchWriter:
-    """Keep the newest row per key: each batch writes the next generation of the table.
+    """Each batch appends its newest row per key; readers take the newest over all batches.
 
-    The generation read is the one the previous batch wrote, so a replay repeats the same
-    result.
+    A batch costs its own size, not the size of the table.
     """
+    write = parquet_sink(path)
+    return lambda batch, batch_id: write(latest_per_key(batch, keys, [version]), batch_id)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = latest_generation(spark, path, batch.schema, below=batch_id)
-        upsert(previous, batch, keys, version).write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
 
-    return write
+def read_upserted(
+    spark: SparkSession, path: str, schema: T.StructType, keys: list[str], newest: list[str]
+) -> DataFrame:
+    """Current rows of an upsert sink: the newest per key by ``newest``, then by batch."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    batches = spark.read.schema(with_batch).parquet(path)
+    return latest_per_key(batches, keys, [*newest, "batch_id"]).drop("batch_id")
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("generation="))
+def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, keys: list[str], newest: list[str]) -> None:
+    """Write the current rows of an upsert sink as the first batch of a new folder."""
+    read_upserted(spark, path, schema, keys, newest).write.parquet(f"{target}/batch_id=-1")
 
 
-def latest_generation(spark: SparkSession, path: str, schema: T.StructType, below: int | None = None) -> DataFrame:
-    """The newest generation written by ``upsert_sink`` (older than ``below`` when given)."""
-    found = [g for g in _generations(spark, path) if below is None or g < below]
-    if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/generation={found[-1]}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def start(df: DataFrame, writer: BatchWriter, name: str, checkpoint: str | None = None,
@@ -125,7 +123,6 @@ def run_available(df: DataFrame, writer: BatchWriter, name: str, checkpoint: str
 
 def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What a Parquet sink has written so far; empty before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)

@@ -86,7 +86,9 @@ def test_crisis_points_do_not_depend_on_the_cut(samples):
 
 def test_drift_paths_agree(samples):
     """The aggregate baseline and the windowed one lead to the same crisis points."""
-    drift = timeseries.with_drift(timeseries.session_features(samples)).filter("drift_pct > 5")
+    features = timeseries.session_features(samples)
+    joined = features.join(timeseries.session_baseline(features), ["athlete_id", "session_id"], "left")
+    drift = timeseries.with_drift(joined).filter("drift_pct > 5")
     first = drift.groupBy("athlete_id", "session_id").agg(F.min(F.struct("timestamp", "sample_id")).alias("f"))
     assert rows(first.select("athlete_id", "session_id", "f.sample_id")) == rows(
         timeseries.crisis_points(samples).select("athlete_id", "session_id", "sample_id")

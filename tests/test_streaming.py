@@ -199,13 +199,18 @@ def test_empty_batches_write_nothing_and_replays_overwrite(spark, tmp_path):
 
 
 def test_upsert_sink_keeps_newest_over_batches_and_replays(spark, tmp_path):
-    path = str(tmp_path / "u")
+    path, schema = str(tmp_path / "u"), "k int, ver int, v string"
+    kind = spark.createDataFrame([], schema).schema
     write = sinks.upsert_sink(path, ["k"], "ver")
-    schema = "k int, ver int, v string"
-    write(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), 0)
+    assert sinks.read_upserted(spark, path, kind, ["k"], ["ver"]).count() == 0
+    write(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (2, 0, "x")], schema), 0)
     for _ in range(2):
-        write(spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], schema), 1)
-    assert rows(sinks.latest_generation(spark, path, spark.createDataFrame([], schema).schema)) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+        write(spark.createDataFrame([(1, 2, "c"), (3, 1, "d"), (2, 1, "same version, later batch")], schema), 1)
+    expected = [(1, 2, "c"), (2, 1, "same version, later batch"), (3, 1, "d")]
+    assert rows(sinks.read_upserted(spark, path, kind, ["k"], ["ver"])) == expected
+    sinks.compact(spark, path, str(tmp_path / "v"), kind, ["k"], ["ver"])
+    sinks.upsert_sink(str(tmp_path / "v"), ["k"], "ver")(spark.createDataFrame([(3, 2, "e")], schema), 2)
+    assert rows(sinks.read_upserted(spark, str(tmp_path / "v"), kind, ["k"], ["ver"]))[2] == (3, 2, "e")
 
 
 def test_workout_events_and_monitoring(spark, topic, tmp_path):
