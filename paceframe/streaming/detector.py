@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import zip_longest
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +15,6 @@ from paceframe.functions.text import alarm_text
 from paceframe.operators.stillness import metres, scan
 from paceframe.schemas import table_schema
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
     "kind string, athlete_id string, session_id bigint, sample_index bigint, still_for bigint, latitude double, "
     "longitude double, heart_rate_bpm double, velocita_media double, velocita_max double, "
@@ -159,12 +158,6 @@ class SessionProcessor(StatefulProcessor):
         """Nothing is held outside the state store."""
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state on executor disk with a changelog in the checkpoint, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
 def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), late_by: str = "10 minutes") -> DataFrame:
     """Tagged rows (``kind`` alert or summary) from a stream of canonical events with ``event_time``.
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from paceframe.config import DetectorConfig
 from paceframe.schemas import METRICS_EVENT, WORKOUT_EVENT
 from paceframe.streaming import sinks
-from paceframe.streaming.detector import detect, use_rocksdb
+from paceframe.streaming.detector import detect
 from paceframe.streaming.ingest import decode_strict, heart_rate_events, without_redelivery
 from paceframe.streaming.metrics import windowed_metrics
 
@@ -18,7 +18,6 @@ def detector_job(
     checkpoint: str | None = None, interval: str | None = None, late_by: str = "10 minutes",
 ) -> StreamingQuery:
     """Broker records -> canonical events -> alarms and session summaries."""
-    use_rocksdb(records.sparkSession)
     events, _ = heart_rate_events(records)
     return sinks.start(detect(events, cfg, late_by), sinks.detector_sink(alerts, summaries), "detector", checkpoint, interval)
 

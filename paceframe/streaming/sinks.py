@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paceframe.operators.dedupe import latest_per_key
-from paceframe.runtime import scratch_path
+from paceframe.runtime import scratch_path, settings
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -101,17 +101,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def state_settings(spark: SparkSession, partitions: int | None = None) -> dict[str, str]:
+    """Settings of a stateful query, recorded in its checkpoint when it first starts.
+
+    State is kept in RocksDB on executor disk with a changelog in the checkpoint, not on the
+    heap. It is cut into one partition per core unless told otherwise: the number cannot
+    change later, and the default of 200 is too many for one machine and too few for a
+    thousand.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+
+
 def start(df: DataFrame, writer: BatchWriter, name: str, checkpoint: str | None = None,
-          interval: str | None = None) -> StreamingQuery:
+          interval: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Start a query with a checkpoint in shared storage.
 
     Without an interval it processes what is available, in as many batches as the source's
     caps demand, and stops.
     """
-    where = checkpoint or scratch_path(df.sparkSession, f"checkpoint-{name}")
+    spark = df.sparkSession
+    where = checkpoint or scratch_path(spark, f"checkpoint-{name}")
     stream = df.writeStream.foreachBatch(writer).option("checkpointLocation", where)
     stream = stream.trigger(processingTime=interval) if interval else stream.trigger(availableNow=True)
-    return stream.start()
+    with settings(spark, state_settings(spark, state_partitions)):  # the query keeps its own copy
+        return stream.start()
 
 
 def run_available(df: DataFrame, writer: BatchWriter, name: str, checkpoint: str | None = None) -> StreamingQuery:

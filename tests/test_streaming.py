@@ -233,3 +233,21 @@ def test_dead_letters_and_archive(spark, topic, tmp_path):
     assert [r[0][0] for r in rows(dead, "reasons")] == ["heart_rate_missing", "malformed"]
     kept = sinks.read_sink(spark, str(tmp_path / "archive"), "sample_index bigint, event_type string")
     assert rows(kept) == [(1, "sample"), (3, "session_end")]
+
+
+def test_state_partitions_come_from_the_checkpoint_and_settings_are_put_back(spark, topic, tmp_path):
+    before = {k: spark.conf.get(k, None) for k in sinks.state_settings(spark)}
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+
+    def run(partitions):
+        events, _ = heart_rate_events(topic.records(spark))
+        live = without_redelivery(events, "1 hour").select("sample_index")
+        sinks.start(live, sinks.parquet_sink(path), "p", checkpoint, state_partitions=partitions).awaitTermination()
+
+    topic.send(sample(1), sample(2))
+    run(3)
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    topic.send(sample(2), sample(3))
+    run(7)
+    assert rows(sinks.read_sink(spark, path, "sample_index bigint")) == [(1,), (2,), (3,)]
+    assert sorted(p for p in os.listdir(tmp_path / "c" / "state" / "0") if p.isdigit()) == ["0", "1", "2"]
