@@ -35,45 +35,87 @@ class Limits:
 class WordIds:
     """Ids of texts, looked up by chunks between spaces and line feeds; only unknown chunks reach the tokenizer.
 
-    Right for tokenizers whose normaliser and word split work on each chunk alone, such as ``word_bpe_49k.json``.
-    Chunks of Latin letters with at most one mark behind them are split into the two, which that file's pattern
-    does as well; the letters' ids are remembered in lower case.
+    Right for tokenizers whose normaliser and word split work on each chunk alone and whose words end in a
+    token of their own kind, such as ``word_bpe_49k.json``. Chunks of Latin letters with at most one mark behind them
+    are split into the two, which that file's pattern does as well; their letters go in lower case, many at a time, to
+    the file's model without its slower normaliser. The first ``REMEMBERED`` chunks are kept, which soon
+    has all the common ones; the rest are looked up again when they come again.
     """
 
     def __init__(self, file: str) -> None:
+        import json
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        with open(file, encoding="utf-8") as source:
+            plain = json.load(source)
+        suffix = plain["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("the vocabulary has no word ends")
+        plain["normalizer"] = plain["post_processor"] = None
+        split = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, as_bytes]}
+        self.model = Tokenizer.from_str(json.dumps(plain))
+        self.model.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.letters = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
         # Worker processes outlive a task, and with them what they remember.
         self.known: dict[str, bytes] = sys.__dict__.setdefault("_paceframe_word_ids", {}).setdefault(file, {})
 
-    def _learn(self, chunks: list[str]) -> None:
-        known, whole, split = self.known, [], []
+    def _of_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of lower-case words."""
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            ids = np.array(self.model.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            flat, last = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(last) != len(some):
+                raise ValueError("words and word ends differ in number")
+            yield from zip(some, [flat[a:b] for a, b in zip([0, *last], last, strict=False)], strict=True)
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of unknown chunks."""
+        known, own, whole, split = self.known, {}, [], []
         for chunk in chunks:
             m = self.letters(chunk)
             if m:
                 split.append((chunk, m[1].lower(), m[2]))
             else:
                 whole.append(chunk)
-        words = {w for _, a, b in split for w in (a, b) if w and w not in known}
-        whole += words
-        for chunk, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
-        for chunk, a, b in split:
-            known[chunk] = known[a] + known[b] if b else known[a]
+        marks = {mark for _, _, mark in split if mark and mark not in known}
+        whole += [m for m in marks if m not in chunks]
+        for at in range(0, len(whole), 500):
+            some = whole[at : at + 500]
+            for chunk, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                own[chunk] = np.array(found.ids, "<u4").tobytes()
+        words = {word for _, word, _ in split if word not in known}
+        stems = dict(self._of_letters(list(words)))
+        for chunk, word, mark in split:
+            ids = stems.get(word) or known[word]
+            if mark:
+                ids += own.get(mark) or known[mark]
+            own[chunk] = ids
+        room = REMEMBERED - len(known)
+        if room > 0:
+            known.update(zip(list(own)[:room], list(own.values())[:room], strict=True))
+        return own
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        chunks = [x.decode("utf-8", "replace").replace("\n", " ").split(" ") for x in texts]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        self._learn(list({c for x in chunks for c in x if c not in known}))
-        return [b"".join([known[c] for c in x]) for x in chunks]
+        chunks = [x.decode("utf-8", "replace").replace("\n", " ").split(" ") for x in texts]
+        unknown = {c for x in chunks for c in x if c not in known}
+        if not unknown:
+            return [b"".join([known[c] for c in x]) for x in chunks]
+        own = self._learn(unknown)
+        return [b"".join([known[c] if c in known else own[c] for c in x]) for x in chunks]
 
 
 @dataclass
