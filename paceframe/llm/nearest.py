@@ -33,37 +33,18 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return codes.astype(np.float32), scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x - coded, axis=1)
 
 
-def _blocks(size: int, with_more: bool):
-    """Pack rows (id, vec[, more]) of a task into blocks: dimension, number of the block, ids, vectors."""
+def _blocks(rows: DataFrame, size: int, counts: DataFrame) -> DataFrame:
+    """Rows (id, vec) dealt by hash into blocks of about ``size`` per dimension: width, block, rows. ``counts`` has a row per
+    dimension."""
+    sized = rows.withColumn("width", F.size("vec")).join(F.broadcast(counts), "width")
+    block = F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / size)).cast("int")
+    return sized.groupBy("width", block.alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held: dict[int, list] = {}
-        number = TaskContext.get().partitionId() << 32
-
-        def block(width: int) -> pa.RecordBatch:
-            nonlocal number
-            number += 1
-            ids, rows = zip(*held.pop(width), strict=True)
-            flat = np.array(rows, np.float64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([width], pa.int32()), pa.array([number], pa.int64()), pa.array([list(ids)], pa.list_(pa.list_(pa.int64()) if with_more else pa.int64())), pa.array([flat.tobytes()], pa.binary())],
-                names=["width", "block", "ids", "data"],
-            )
 
-        for batch in batches:
-            column, ids = batch.column("vec"), batch.column("id").to_pylist()
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            for i, start, end in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                width = end - start
-                held.setdefault(width, []).append((i, flat[start:end].copy()))
-                if len(held[width]) == size:
-                    yield block(width)
-        for width in list(held):
-            yield block(width)
-
-    return work
+def _unpacked(column: pa.ListArray, at: int, width: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of one block."""
+    rows = column.slice(at, 1).flatten()
+    return rows.field("id"), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 class Tops:
@@ -118,20 +99,22 @@ class Tops:
 def _search(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops, at = None, None
-        ready: dict[int, tuple] = {}
+        ready: dict[tuple[int, int], tuple] = {}
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("width", "block", "ids", "data", "other", "other_ids", "other_data")]
-            for width, block, ids, data, other, other_ids, other_data in zip(*columns, strict=True):
-                if (width, block) != at:
+            queries, candidates = batch.column("rows"), batch.column("others")
+            places = zip(*(batch.column(n).to_pylist() for n in ("width", "group", "block", "other")), strict=True)
+            for row, (width, group, block, other) in enumerate(places):
+                if (width, group, block) != at:
                     if tops is not None:
                         yield tops.rows()
-                    at, tops = (width, block), Tops(np.array(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, width), k)
-                vectors = np.frombuffer(other_data, np.float64).reshape(-1, width)
-                if other not in ready:
+                    ids, vectors = _unpacked(queries, row, width)
+                    at, tops = (width, group, block), Tops(ids.to_numpy(), vectors, k)
+                if (width, other) not in ready:
                     if len(ready) >= GROUP:
                         ready.clear()
-                    ready[other] = quantised(vectors)
-                tops.meet(other_ids, vectors, ready[other])
+                    ids, vectors = _unpacked(candidates, row, width)
+                    ready[width, other] = ids.to_pylist(), vectors, quantised(vectors)
+                tops.meet(*ready[width, other])
         if tops is not None:
             yield tops.rows()
 
@@ -143,7 +126,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the smaller id.
 
     Equal vectors are first made one candidate that carries its ``k + 1`` smallest ids, as no others can be among the
-    results. Blocks of queries meet all groups of candidate blocks of the same dimension: int8 products give each
+    results; ids are taken to name one vector each. Blocks of queries meet all groups of candidate blocks of the same dimension: int8 products give each
     inner product with an error bound; pairs whose upper bound reaches the k-th best lower bound so far are computed in
     double precision. Each group hands on ``k`` rows per query, and ranks cut them to ``k`` before and after the shuffle.
 
@@ -154,20 +137,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     good = valid(vectors, key, vector)
     same = Window.partitionBy("vec").orderBy("id")
     few = good.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    candidates = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("id"))
-    shape = "width int, block long, ids {}, data binary"
-    right = map_batches(candidates, _blocks(CANDIDATES, True), shape.format("array<array<long>>"))
+    candidates = written(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("id")), "candidates")
     asked = valid(vectors.where(queries), key, vector).distinct()
-    left = map_batches(asked, _blocks(QUERIES, False), shape.format("array<long>"))
-    groups = F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP)).cast("int")
-
-    right = written(right, "candidates")
-    # One row per dimension.
-    counts = F.broadcast(right.groupBy("width").agg(groups.alias("groups")))
-    right = right.join(counts, "width").select("width", F.pmod(F.xxhash64("block"), "groups").cast("int").alias("group"), F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("data").alias("other_data"))
-    left = left.join(counts, "width").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    pairs = left.join(right, ["width", "group"]).select("width", "block", "ids", "data", "other", "other_ids", "other_data")
+    counts = candidates.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"))
+    query_counts = asked.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"))
+    group = F.floor(F.col("other") / GROUP).cast("int").alias("group")
+    right = _blocks(candidates, CANDIDATES, counts).select("width", F.col("block").alias("other"), F.col("rows").alias("others")).select("*", group)
+    groups = counts.select("width", F.explode(F.sequence(F.lit(0), F.ceil(F.ceil(F.col("n") / CANDIDATES) / GROUP).cast("int") - 1)).alias("group"))
+    left = _blocks(asked, QUERIES, query_counts).join(groups, "width")
+    pairs = left.join(right, ["width", "group"]).sortWithinPartitions("width", "group", "block", "other").select("width", "group", "block", "rows", "other", "others")
     found = map_batches(pairs, _search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
