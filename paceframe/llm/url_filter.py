@@ -98,7 +98,7 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "pag
 
     A rule (host, path, verdict) fits its host and all subdomains when the url's path starts with the
     rule's path; the rule of the empty host fits every host. The longest rule (as the text host + path)
-    wins; of two equal texts ``block`` wins. No rule: ``rule`` NULL and the default verdict.
+    wins; of equally long ones ``block`` wins, then the later text. No rule: ``rule`` NULL and the default verdict.
 
     The rules' hosts are intervals of reversed-host keys. Rules and urls are sorted together by range
     of (key, kind, path, row), so a hot host spreads over many tasks; a sweep holds the stack of rules
