@@ -67,7 +67,8 @@ def _compare(radius: int):
         step = max(1, BLOCK // max(1, len(left)))
         for at in range(0, len(right), step):
             some = right[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ some[None, :]) <= radius)
+            # NumPy counts the bits of a signed number's absolute value.
+            i, j = np.nonzero(np.bitwise_count((left[:, None] ^ some[None, :]).view(np.uint64)) <= radius)
             apart = left[i] != some[j]
             if apart.any():
                 yield left[i[apart]], some[j[apart]]
