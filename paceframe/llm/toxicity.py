@@ -120,10 +120,11 @@ def nn_pu(x: np.ndarray, u: np.ndarray, prior: float, config: PuConfig) -> tuple
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def gradient(rows: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        return np.append(per_row @ rows, per_row.sum()) / len(rows)
+        return np.append(per_row.astype(rows.dtype) @ rows, per_row.sum()) / len(rows)
 
     for step in range(1, config.steps + 1):
-        at_x, at_u = x @ theta[:-1] + theta[-1], u @ theta[:-1] + theta[-1]
+        weights = theta[:-1].astype(x.dtype)
+        at_x, at_u = x @ weights + theta[-1], u @ weights + theta[-1]
         negative = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_x).mean()
         negative_gradient = gradient(u, sigmoid(at_u)) - prior * gradient(x, sigmoid(at_x))
         if negative >= 0:
@@ -196,7 +197,10 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     results; an empty table gives no rows; other columns are ignored. Nothing is shuffled.
     """
     keep = keep or []
-    narrow = df.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_text"), F.struct(F.lit(0).alias("_none"), *keep).alias("_rest"))
+    whole = F.col(text).cast("binary").alias("_text")
+    # A kept text crosses to Python once.
+    rest = F.struct(F.lit(0).alias("_none"), *[c for c in keep if c != text])
+    narrow = df.select(F.col(key).alias("_id"), whole, rest.alias("_rest"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +209,11 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in parts(batch, "_text", 1 << 20):
                 found = own.scores(part.column("_text"), tokenizer, sieve)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found), part.column("_rest")], names=["_id", "score", "_rest"])
-
-    out = map_batches(narrow, work, [*fields(narrow, _id="_id"), T.StructField("score", T.DoubleType()), narrow.schema["_rest"]])
-    return out.select(F.col("_id").alias(key), *[F.col("_rest")[c].alias(c) for c in keep], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                more = [part.column("_text")] if text in keep else []
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found), part.column("_rest"), *more], names=names)
+
+    names = ["_id", "score", "_rest", *(["_text"] if text in keep else [])]
+    schema = [*fields(narrow, _id="_id"), T.StructField("score", T.DoubleType()), narrow.schema["_rest"]]
+    out = map_batches(narrow, work, schema + ([T.StructField("_text", T.BinaryType())] if text in keep else []))
+    kept = [F.col("_text").cast("string").alias(c) if c == text else F.col("_rest")[c].alias(c) for c in keep]
+    return out.select(F.col("_id").alias(key), *kept, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
