@@ -23,9 +23,15 @@ def parse_number(x: Column, default: float | None = 0.0) -> Column:
 
 
 def parse_integer(x: Column) -> Column:
-    """Text to bigint when it is a whole number, else NULL."""
-    value = x.cast("string").try_cast("double")
-    return F.when(is_finite(value) & (value == F.floor(value)), value.try_cast("bigint"))
+    """Text to bigint when it is a whole number, else NULL; exact over the whole range of bigint."""
+    text = x.cast("string")
+    exact = text.try_cast("decimal(38,9)")
+    value = text.try_cast("double")
+    return F.coalesce(
+        text.try_cast("bigint"),
+        F.when(exact == F.floor(exact), exact.try_cast("bigint")),
+        F.when(exact.isNull() & is_finite(value) & (value == F.floor(value)), value.try_cast("bigint")),
+    )
 
 
 def round_half_up(x: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def athlete_code(athlete_id: Column) -> Column:
-    """``AT-`` plus the id padded to three digits (``lpad`` cuts longer ids, as in the source system)."""
-    return F.concat(F.lit("AT-"), F.lpad(athlete_id.cast("string"), 3, "0"))
+    """``AT-`` plus the id padded to three digits at least; longer ids stay whole, so codes differ as ids do."""
+    digits = athlete_id.cast("string")
+    return F.concat(F.lit("AT-"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
 
 
 def full_name(first: Column, last: Column) -> Column:

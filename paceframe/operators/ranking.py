@@ -6,25 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import ratio
-from paceframe.operators.skew import running_count
+from paceframe.operators.skew import value_counts_before
 
 
-def population_rank(df: DataFrame, column: str, scale: int = 1_000_000, buckets: int = 100) -> DataFrame:
+def population_rank(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
     """Add percent rank, percentile bucket and z-score of ``column`` among all rows.
 
-    ``percent_rank`` is (rows below) / (rows - 1) as the window function defines it, with
-    values compared at 1/``scale``. Running totals over the value axis replace the
-    unpartitioned window; ties share a rank. The z-score uses the population deviation.
+    ``percent_rank`` is (rows below) / (rows - 1) as the window function defines it. Counts
+    per range of the value replace the unpartitioned window; equal values share a rank. The
+    z-score uses the population deviation. Starts jobs.
     """
-    tick = F.round(F.col(column) * scale).cast("bigint")
-    ranked = df.withColumn("_tick", tick)
-    below = running_count(ranked.filter(F.col("_tick").isNotNull()).select("_tick"), [], "_tick")
+    below = value_counts_before(df, column)
     stats = df.agg(
         F.struct(
             F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd")
         ).alias("s")
     ).scalar()
-    joined = ranked.join(below.select("_tick", "before"), "_tick", "left").withColumn("_s", stats)
+    joined = df.join(below.select(F.col("value").alias(column), "before"), column, "left").withColumn("_s", stats)
     percent: Column = F.coalesce(
         ratio(F.col("before"), F.col("_s.n") - 1), F.when(F.col("before").isNotNull(), F.lit(0.0))
     )

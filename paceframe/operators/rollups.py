@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paceframe.functions.dates import iso_week_id
 from paceframe.functions.numbers import heart_rate_zone, ratio, round_half_up
 from paceframe.functions.text import words
-from paceframe.operators.skew import running_count
+from paceframe.operators.skew import group_key, value_counts_before
 
 
 def group_means(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -111,18 +111,16 @@ def weighted_summary(days: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(df: DataFrame, column: str, p: float, scale: int = 1000) -> DataFrame:
+def nearest_rank(df: DataFrame, column: str, p: float) -> DataFrame:
     """Exact nearest-rank percentile as one row, without holding the values in one buffer.
 
-    Values are counted per 1/``scale`` unit, counts become running totals over the integer
-    axis, and the smallest value whose total reaches ``ceil(p * n)`` is the answer.
+    The smallest value up to which ``ceil(p * n)`` rows lie. Starts jobs.
     """
-    ticks = df.filter(F.col(column).isNotNull()).select(F.round(F.col(column) * scale).cast("bigint").alias("_tick"))
-    counts = running_count(ticks, [], "_tick")
-    total = ticks.agg(F.count(F.lit(1))).scalar()
+    counts = value_counts_before(df, column)
+    total = df.agg(F.count(column)).scalar()
     wanted = F.greatest(F.lit(1), F.ceil(total * F.lit(p)))
     reached = counts.filter(F.col("before") + F.col("n") >= wanted)
-    return reached.agg((F.min("_tick") / F.lit(float(scale))).alias("value"))
+    return reached.agg(F.min("value").alias("value"))
 
 
 def latency_report(log: DataFrame, elapsed_s: Column | float, p: float = 0.95) -> DataFrame:
@@ -190,10 +188,11 @@ def share_of_peak(df: DataFrame, column: str, floor: int | None = None) -> DataF
 
 def min_max_scaled(df: DataFrame, column: str, series: Sequence[str]) -> DataFrame:
     """(x - min) / max(1, max - min) within each series; limits come from a combining aggregate."""
-    limits = df.groupBy(*series).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    keyed = df.withColumn("_g", group_key(series))
+    limits = keyed.groupBy("_g").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     spread = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo")).cast("double"))
     scaled = ((F.col(column) - F.col("_lo")) / spread).alias("scaled")
-    return df.join(limits, list(series)).select(*df.columns, scaled)
+    return keyed.join(limits, "_g").select(*df.columns, scaled)
 
 
 def integer_range_check(df_range: DataFrame) -> DataFrame:

@@ -15,8 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceframe.config import HotGroups
+from paceframe.runtime import written
 
 SLOT = 4096
+#: Slot of the rows without an axis value: before all others, as in an ordered window.
+NULL_SLOT = -(1 << 52)
+
+
+def group_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct; unlike the columns themselves it is never NULL, and NULL parts are equal."""
+    return F.struct(*keys)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
@@ -28,10 +36,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFr
     """(rows of ordinary groups, rows of hot groups).
 
     The broadcast is bounded: at most ``rows / max_rows`` keys can be hot. With none, AQE
-    sees the empty broadcast and drops the hot branch. Rows with a NULL key stay ordinary.
+    sees the empty broadcast and drops the hot branch. NULL keys form groups like any other.
     """
-    hot = F.broadcast(hot_keys(df, keys, max_rows))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    hot = F.broadcast(hot_keys(df, keys, max_rows).select(group_key(keys).alias("_g")))
+    keyed = df.withColumn("_g", group_key(keys))
+    return keyed.join(hot, "_g", "left_anti").drop("_g"), keyed.join(hot, "_g", "left_semi").drop("_g")
 
 
 def running_count(
@@ -43,7 +52,7 @@ def running_count(
     cut into slots of 4096 values, slots into blocks of 4096 slots and so on, totals are
     summed per level and each window sees at most 4096 rows. Only the topmost level has one
     window per group, with one row per 4096**(levels - 1) axis values. Keys and axis must
-    not be NULL.
+    not be NULL; :func:`group_key` makes one such key of any columns.
     """
     weight = F.lit(1) if measure is None else (F.col(measure) if isinstance(measure, str) else measure)
     keys = list(keys)
@@ -72,15 +81,34 @@ def dense_position(df: DataFrame, keys: Sequence[str], axis: str, name: str = "_
     """Add the 0-based position of each row in its group, ordered by the integer ``axis``.
 
     ``axis`` must be unique within a group, so a slot holds at most 4096 rows and the window
-    below is bounded whatever the size of the group.
+    below is bounded whatever the size of the group. Rows without an axis value come first;
+    NULL keys are a group like any other. No row is lost.
     """
-    slotted = df.withColumn("_slot", F.floor(F.col(axis) / F.lit(SLOT)).cast("bigint"))
-    starts = running_count(slotted.select(*keys, "_slot"), keys, "_slot", levels=2)
-    starts = starts.select(*keys, "_slot", F.col("before").alias("_start"))
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy(axis)
+    slot = F.coalesce(F.floor(F.col(axis) / F.lit(SLOT)).cast("bigint"), F.lit(NULL_SLOT))
+    slotted = df.withColumn("_g", group_key(keys)).withColumn("_slot", slot)
+    starts = running_count(slotted.select("_g", "_slot"), ["_g"], "_slot", levels=2)
+    starts = starts.select("_g", "_slot", F.col("before").alias("_start"))
+    in_slot = Window.partitionBy("_g", "_slot").orderBy(axis)
     numbered = slotted.withColumn("_rn", F.row_number().over(in_slot))
-    placed = numbered.join(starts, [*keys, "_slot"])
-    return placed.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_slot", "_rn", "_start")
+    placed = numbered.join(starts, ["_g", "_slot"])
+    return placed.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_g", "_slot", "_rn", "_start")
+
+
+def value_counts_before(df: DataFrame, column: str) -> DataFrame:
+    """Per different value of ``column``: ``n`` rows with it and ``before`` rows with smaller ones; NULL is left out.
+
+    Values are compared as they are. The counts are dealt by range of the value and written
+    once; each range is numbered by itself and shifted by the totals of the ranges before it,
+    one number per partition on the driver. Starts jobs.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = written(counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "value-counts")
+    totals = sorted(ranged.groupBy("_part").agg(F.sum("n")).collect())
+    starts = [(part, sum(n for _, n in totals[:at])) for at, (part, _) in enumerate(totals)]
+    shifts = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    earlier = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("_within", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return within.join(shifts, "_part").select("value", "n", (F.col("_start") + F.col("_within")).alias("before"))
 
 
 def chunk_with_halo(df: DataFrame, chunk_rows: int, halo: int, pos: str = "_pos") -> DataFrame:

@@ -22,6 +22,11 @@ def unique_samples(samples: DataFrame) -> DataFrame:
     return first_per_key(samples, [*SESSION, "sample_id"], ["timestamp"])
 
 
+def _keyed(samples: DataFrame) -> DataFrame:
+    """Rows with a session and a sample number; the others never pass the quality rule, so they are not shuffled."""
+    return samples.select(*REQUIRED).filter(all_present([*SESSION, "sample_id"]))
+
+
 def _clean(samples: DataFrame) -> DataFrame:
     return unique_samples(samples).filter(all_present(REQUIRED))
 
@@ -69,7 +74,7 @@ def session_features(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> Da
     """
     # the frame needs n_prev earlier rows, and the first of these its own predecessor
     return over_sessions(
-        samples.select(*REQUIRED), SESSION, "sample_id", cfg.n_prev + 1, lambda f, by: _efficiency(f, by, cfg), cfg.hot, _clean
+        _keyed(samples), SESSION, "sample_id", cfg.n_prev + 1, lambda f, by: _efficiency(f, by, cfg), cfg.hot, _clean
     ).drop("prev_latitude", "prev_longitude")
 
 
@@ -96,7 +101,7 @@ def drifted_samples(samples: DataFrame, cfg: DriftConfig = DriftConfig()) -> Dat
     session's start; its baseline is a partial aggregate joined back by broadcast (one row
     per hot session, at most rows / max_rows of them).
     """
-    ordinary, big = split_hot(samples.select(*REQUIRED), SESSION, cfg.hot.max_rows)
+    ordinary, big = split_hot(_keyed(samples), SESSION, cfg.hot.max_rows)
     w = Window.partitionBy(*SESSION).orderBy("sample_id")
     plain = _efficiency(_clean(ordinary.repartition(*SESSION)), SESSION, cfg)
     plain = plain.select("*", F.first("efficiency", ignorenulls=True).over(w).alias("baseline"))

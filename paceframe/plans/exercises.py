@@ -2,65 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import safe_corr
 from paceframe.runtime import written
 
-MAX_EXERCISES = 64
-
-
-def exercise_names(sets: DataFrame) -> list[str]:
-    """The distinct exercises, sorted. Starts a job; refuses more than a matrix can sensibly hold."""
-    found = [r[0] for r in sets.select("nome_esercizio").distinct().limit(MAX_EXERCISES + 1).collect()]
-    if len(found) > MAX_EXERCISES:
-        raise ValueError(f"more than {MAX_EXERCISES} exercises: name the ones to compare")
-    return sorted(found)
-
-
-def daily_loads(sets: DataFrame, exercises: Sequence[str]) -> DataFrame:
-    """Mean load per athlete and day, one column ``x<i>`` per exercise.
 
-    Conditional means in one aggregation; the shuffle carries partial sums, not sets.
-    """
+def daily_loads(sets: DataFrame) -> DataFrame:
+    """Mean load per athlete, day and exercise; the shuffle carries partial sums, not sets."""
     load = F.col("peso_allenamento").cast("double")
-    cells = [F.avg(F.when(F.col("nome_esercizio") == e, load)).alias(f"x{i}") for i, e in enumerate(exercises)]
-    return sets.groupBy("athlete_id", F.to_date("data_allenamento").alias("day")).agg(*cells)
+    day = F.to_date("data_allenamento").alias("day")
+    return sets.groupBy("athlete_id", day, F.col("nome_esercizio").alias("exercise")).agg(F.avg(load).alias("load"))
 
 
-def exercise_matrix(sets: DataFrame, exercises: Sequence[str]) -> DataFrame:
-    """Per athlete: columns, square matrix and the number of training days behind it.
+def exercise_correlations(sets: DataFrame) -> DataFrame:
+    """The square matrix of each athlete's exercises in long form: (athlete_id, x, y, r, rows).
 
-    Pairs use the days with both exercises (definition ours); an undefined pair is NULL.
-    Days with a single exercise only count; they skip the wide aggregation of the pairs.
-    Starts a job: the daily means feed two aggregations and are written once.
+    The exercises are those found in the data, any number of them. Pairs use the days with
+    both (definition ours); an undefined pair is NULL, an exercise with itself 1; ``rows``
+    counts the athlete's training days. Pairs are made per day and summed, so their number
+    is bounded by what an athlete trains on one day. Starts a job: the daily means feed
+    three aggregations and are written once.
     """
-    n = len(exercises)
-    if n < 2:
-        raise ValueError("a correlation matrix needs at least two exercises")
-    pairs = {(i, j): safe_corr(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in combinations(range(n), 2)}
-    daily = written(daily_loads(sets, exercises), "daily-loads")
-    present = sum((F.col(f"x{i}").isNotNull().cast("int") for i in range(n)), F.lit(0))
-    days = daily.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("rows"))
-    related = daily.filter(present >= 2).groupBy("athlete_id").agg(*pairs.values())
-    stats = days.join(related, "athlete_id", "left")
-
-    def cell(i: int, j: int):
-        return F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}")
-
-    matrix = F.array(*[F.array(*[cell(i, j) for j in range(n)]) for i in range(n)])
-    return stats.select("athlete_id", F.array(*[F.lit(e) for e in exercises]).alias("columns"), matrix.alias("matrix"), "rows")
-
-
-def exercise_correlations(sets: DataFrame, exercises: Sequence[str]) -> DataFrame:
-    """The matrix in long form: (athlete_id, x, y, r, rows)."""
-    wide = exercise_matrix(sets, exercises)
-    rows = wide.select("athlete_id", "columns", "rows", F.posexplode("matrix").alias("i", "row"))
-    cells = rows.select("athlete_id", "columns", "rows", "i", F.posexplode("row").alias("j", "r"))
-    return cells.select(
-        "athlete_id", F.col("columns")[F.col("i")].alias("x"), F.col("columns")[F.col("j")].alias("y"), "r", "rows"
-    )
+    daily = written(daily_loads(sets), "daily-loads")
+    known = daily.filter(F.col("load").isNotNull())
+    days = daily.groupBy("athlete_id").agg(F.count_distinct("day").alias("rows"))
+    x = known.select("athlete_id", "day", F.col("exercise").alias("x"), F.col("load").alias("load_x"))
+    y = known.select("athlete_id", "day", F.col("exercise").alias("y"), F.col("load").alias("load_y"))
+    upper = x.join(y, ["athlete_id", "day"]).filter(F.col("x") < F.col("y"))
+    related = upper.groupBy("athlete_id", "x", "y").agg(safe_corr(F.col("load_x"), F.col("load_y")).alias("r"))
+    both = related.unionByName(related.select("athlete_id", F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    own = known.select("athlete_id", F.col("exercise").alias("x")).distinct()
+    grid = own.join(own.withColumnRenamed("x", "y"), "athlete_id").join(both, ["athlete_id", "x", "y"], "left")
+    r = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("r")).alias("r")
+    return grid.join(days, "athlete_id").select("athlete_id", "x", "y", r, "rows")

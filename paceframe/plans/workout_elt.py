@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from paceframe.functions.documents import parsed_once
 from paceframe.operators.joins import new_rows_only
 from paceframe.operators.quality import Rules, split_valid
 from paceframe.operators.rollups import high_water_mark, load_control
+from paceframe.runtime import written
 from paceframe.schemas import WORKOUT_DOCUMENT, WORKOUT_SETS, WORKOUTS_RAW
 from paceframe.sources.files import truncate, write_monthly
 from paceframe.sources.jdbc import incremental_scan
@@ -144,10 +144,10 @@ def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     """One load: stage, check, transform, append, reconcile, empty staging.
 
-    Returns the control row: waiting rows, first and last id, sets written, rows quarantined
-    and rows left in staging. Re-running adds nothing: rows at or below the target's mark
-    are not staged, staged ones not staged twice, and rows of a run that died after its
-    append are recognised by id.
+    Returns the control row: waiting rows, first and last id, sets written and rows left in
+    staging. Re-running adds nothing: rows at or below the target's mark
+    are not staged, staged ones not staged twice, and rows of a run that died between its
+    writes are recognised by id in the quarantine and in the target, each for itself.
     """
     spark = workouts.sparkSession
     raw_schema = _ntz(WORKOUTS_RAW)
@@ -160,18 +160,14 @@ def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     control = load_control(staged).first()
     # only the staged range of the target is looked at: the bounds reach its scan
     in_range = F.col("allenamento_id").between(control["first_id"], control["last_id"])
-    pending = new_rows_only(staged, target.filter(in_range).select("allenamento_id").distinct(), "allenamento_id")
-    # one parse feeds both writes; lost blocks are recomputed from staging
-    expanded = expand_sets(pending).persist(StorageLevel.DISK_ONLY)
-    try:
-        sets, rejected = checked_sets(expanded)
-        sort = ["data_allenamento", "athlete_id", "allenamento_id"]
-        before = target.filter(in_range).count()
-        write_monthly(sets, paths.target, "data_allenamento", sort)
-        known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
-        new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
-    finally:
-        expanded.unpersist()
+    # one parse, kept in the shared folder, feeds both writes
+    sets, rejected = checked_sets(written(expand_sets(staged), "expanded-sets"))
+    known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
+    new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
+    loaded = target.filter(in_range).select("allenamento_id").distinct()
+    before = target.filter(in_range).count()
+    sort = ["data_allenamento", "athlete_id", "allenamento_id"]
+    write_monthly(new_rows_only(sets, loaded, "allenamento_id"), paths.target, "data_allenamento", sort)
     written_rows = spark.read.schema(set_schema).parquet(paths.target).filter(in_range).count() - before
     truncate(spark, paths.staging, raw_schema)
     left = spark.read.schema(raw_schema).parquet(paths.staging).count()

@@ -276,7 +276,7 @@ def _(spark, sf):
 
 
 @C.add("H10_codes_and_names", with_views("""
-    SELECT athlete_id, 'AT-' || CASE WHEN athlete_id > 999 THEN left(CAST(athlete_id AS VARCHAR), 3)
+    SELECT athlete_id, 'AT-' || CASE WHEN athlete_id > 999 THEN CAST(athlete_id AS VARCHAR)
              ELSE lpad(CAST(athlete_id AS VARCHAR), 3, '0') END AS code,
            coalesce(nome, '') || ' ' || coalesce(cognome, '') AS name,
            nullif(TRY_CAST(regexp_extract('AT-' || lpad(CAST(athlete_id % 1000 AS VARCHAR), 3, '0') || 'x', '([0-9]+)', 1) AS BIGINT), 0) AS parsed,

@@ -91,24 +91,20 @@ def _(spark, sf):
     )
 
 
-EXERCISES = ("AF", "AO", "NF", "NO", "Plank", "RF", "RO")
-
-
-def _exercise_sql() -> str:
-    daily = ", ".join(f"avg(CAST(carico AS DOUBLE)) FILTER (nome = '{e}') AS x{i}" for i, e in enumerate(EXERCISES))
-    cells = []
-    for (i, x), (j, y) in product(enumerate(EXERCISES), enumerate(EXERCISES)):
-        a, b = f"CASE WHEN x{j} IS NOT NULL THEN x{i} END", f"CASE WHEN x{i} IS NOT NULL THEN x{j} END"
-        r = "1.0::DOUBLE" if i == j else f"round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6)"
-        cells.append(f"SELECT athlete_id, '{x}' AS x, '{y}' AS y, {r} AS r, count(*) AS rows FROM daily GROUP BY athlete_id")
-    views = with_views("", "good_sets").rstrip()
-    return f"{views}, daily AS MATERIALIZED (SELECT athlete_id, CAST(data_allenamento AS DATE) AS day, {daily} FROM good_sets GROUP BY 1, 2)\n" + " UNION ALL ".join(cells)
-
-
-@C.add("L4_exercise_correlations", _exercise_sql())
+@C.add("L4_exercise_correlations", with_views("", "good_sets").rstrip() + """, daily AS MATERIALIZED (
+        SELECT athlete_id, CAST(data_allenamento AS DATE) AS day, nome, avg(CAST(carico AS DOUBLE)) AS load FROM good_sets GROUP BY ALL
+    ), own AS (SELECT DISTINCT athlete_id, nome FROM daily WHERE load IS NOT NULL),
+    days AS (SELECT athlete_id, count(DISTINCT day) AS rows FROM daily GROUP BY 1),
+    related AS (
+        SELECT athlete_id, a.nome AS x, b.nome AS y, round(covar_pop(a.load, b.load) / nullif(stddev_pop(a.load) * stddev_pop(b.load), 0), 6) AS r
+        FROM daily a JOIN daily b USING (athlete_id, day) GROUP BY ALL
+    )
+    SELECT o.athlete_id, o.nome AS x, p.nome AS y, CASE WHEN o.nome = p.nome THEN 1.0::DOUBLE ELSE r END AS r, rows
+    FROM own o JOIN own p USING (athlete_id) JOIN days USING (athlete_id)
+    LEFT JOIN related ON related.athlete_id = o.athlete_id AND related.x = o.nome AND related.y = p.nome""")
 def _(spark, sf):
     sets, _ = workout_elt.workout_sets(workout_elt.to_raw(A.workouts(spark, sf)))
-    return exercises.exercise_correlations(sets, EXERCISES).withColumn("r", F.round("r", 6))
+    return exercises.exercise_correlations(sets).withColumn("r", F.round("r", 6))
 
 
 @C.add("L5_peer_performance", with_views("""

@@ -188,7 +188,7 @@ def _(spark, sf):
 
 
 @C.add("L11_training_status", with_views("""
-    SELECT a.athlete_id, 'AT-' || CASE WHEN a.athlete_id > 999 THEN left(CAST(a.athlete_id AS VARCHAR), 3)
+    SELECT a.athlete_id, 'AT-' || CASE WHEN a.athlete_id > 999 THEN CAST(a.athlete_id AS VARCHAR)
              ELSE lpad(CAST(a.athlete_id AS VARCHAR), 3, '0') END AS id,
            a.nome || ' ' || coalesce(a.cognome, '') AS name, lower(coalesce(n.status, 'amber')) AS status,
            coalesce(n.acwr, 0.0) AS acwr, coalesce(CAST(n.readiness AS INTEGER), 0) AS readiness,

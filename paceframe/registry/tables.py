@@ -122,11 +122,16 @@ def _(spark, sf):
     return dedupe.upsert(base, updates, ["athlete_id"], "version").drop("version")
 
 
-@C.add("A19_missing_table_is_empty", "SELECT 'x' AS athlete_code, 1::BIGINT AS n FROM events WHERE event_id < 0")
+@C.add("A19_missing_table_is_empty", "SELECT c_custkey, count(o_orderkey) AS n_known, 0::BIGINT AS n_missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _(spark, sf):
-    plans = files.table_or_empty(spark, "no_such_workout_plans", WORKOUT_PLANS)
-    mine = A.workout_plans(spark, sf).select("athlete_code")
-    return plans.join(mine, "athlete_code").groupBy("athlete_code").agg(F.count(F.lit(1)).alias("n"))
+    """Customers with their rows in a table that is there and in one that is not."""
+    orders = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("athlete_code"), F.lit("known").alias("kind"))
+    missing = files.table_or_empty(spark, "no_such_workout_plans", WORKOUT_PLANS)
+    both = orders.unionByName(missing.select(F.col("athlete_code").cast("bigint"), F.lit("missing").alias("kind")))
+    counts = both.groupBy("athlete_code").agg(F.count_if(F.col("kind") == "known").alias("k"), F.count_if(F.col("kind") == "missing").alias("m"))
+    customers = A.table(spark, sf, "customer").select("c_custkey")
+    joined = customers.join(counts, F.col("c_custkey") == F.col("athlete_code"), "left")
+    return joined.select("c_custkey", F.coalesce("k", F.lit(0)).alias("n_known"), F.coalesce("m", F.lit(0)).alias("n_missing"))
 
 
 @C.add("A20_sparse_update", with_views("""

@@ -28,9 +28,11 @@ def stream_options(servers: str, topic: str, offsets: str | None = None, max_per
     }
 
 
-def read_stream(spark: SparkSession, servers: str, topic: str, offsets: str | None = None) -> DataFrame:
-    """An unbounded topic."""
-    return spark.readStream.format("kafka").options(**stream_options(servers, topic, offsets)).load()
+def read_stream(
+    spark: SparkSession, servers: str, topic: str, offsets: str | None = None, max_per_trigger: int = 1_000_000
+) -> DataFrame:
+    """An unbounded topic, at most ``max_per_trigger`` records per batch."""
+    return spark.readStream.format("kafka").options(**stream_options(servers, topic, offsets, max_per_trigger)).load()
 
 
 def read_bounded(spark: SparkSession, servers: str, topic: str, limit: int | None = None) -> DataFrame:

@@ -16,37 +16,48 @@ from paceframe.streaming.metrics import windowed_metrics
 def detector_job(
     records: DataFrame, alerts: str, summaries: str, cfg: DetectorConfig = DetectorConfig(),
     checkpoint: str | None = None, interval: str | None = None, late_by: str = "10 minutes",
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Broker records -> canonical events -> alarms and session summaries."""
+    """Broker records -> canonical events -> alarms and session summaries.
+
+    All jobs run until stopped when given an ``interval``, else to the end of what is there;
+    ``state_partitions`` is fixed in the checkpoint by the first start.
+    """
     events, _ = heart_rate_events(records)
-    return sinks.start(detect(events, cfg, late_by), sinks.detector_sink(alerts, summaries), "detector", checkpoint, interval)
+    writer = sinks.detector_sink(alerts, summaries)
+    return sinks.start(detect(events, cfg, late_by), writer, "detector", checkpoint, interval, state_partitions)
 
 
-def dead_letter_job(records: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def dead_letter_job(records: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:
     """Records the detector cannot use, with reasons."""
     _, dead = heart_rate_events(records)
-    return sinks.start(dead, sinks.parquet_sink(path), "dead-letters", checkpoint)
+    return sinks.start(dead, sinks.parquet_sink(path), "dead-letters", checkpoint, interval)
 
 
-def archive_job(records: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def archive_job(
+    records: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = None, state_partitions: int | None = None
+) -> StreamingQuery:
     """Raw samples in bulk, from their own query and checkpoint, without redeliveries."""
     events, _ = heart_rate_events(records)
     samples = without_redelivery(events).select(
         "athlete_id", "session_id", "sample_index", "latitude", "longitude", "heart_rate_bpm", "cadence_spm", "event_type"
     )
-    return sinks.start(samples, sinks.parquet_sink(path), "archive", checkpoint)
+    return sinks.start(samples, sinks.parquet_sink(path), "archive", checkpoint, interval, state_partitions)
 
 
 def metrics_job(
-    records: DataFrame, path: str, checkpoint: str | None = None, length: str = "5 minutes", late_by: str = "10 minutes"
+    records: DataFrame, path: str, checkpoint: str | None = None, length: str = "5 minutes", late_by: str = "10 minutes",
+    interval: str | None = None, state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Metric records -> windowed metrics; a window is written once it can no longer change."""
     events, _ = decode_strict(records, METRICS_EVENT)
     grouped = windowed_metrics(events, length, late_by=late_by)
-    return sinks.start(grouped, sinks.parquet_sink(path), "metrics", checkpoint)
+    return sinks.start(grouped, sinks.parquet_sink(path), "metrics", checkpoint, interval, state_partitions)
 
 
-def workouts_job(records: DataFrame, writer: sinks.BatchWriter, checkpoint: str | None = None) -> StreamingQuery:
+def workouts_job(
+    records: DataFrame, writer: sinks.BatchWriter, checkpoint: str | None = None, interval: str | None = None
+) -> StreamingQuery:
     """Workout records -> relational store (or any batch writer)."""
     events, _ = decode_strict(records, WORKOUT_EVENT)
-    return sinks.start(events, writer, "workout-events", checkpoint)
+    return sinks.start(events, writer, "workout-events", checkpoint, interval)

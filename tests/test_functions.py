@@ -54,8 +54,8 @@ def test_first_positive_int(spark, given, expected):
     assert one(spark, given, text.first_positive_int(F.col("x"))) == expected
 
 
-def test_code_cuts_long_ids_and_name_skips_null(spark):
-    assert one(spark, 1234, text.athlete_code(F.col("x")), "bigint") == "AT-123"
+def test_code_keeps_long_ids_and_name_skips_null(spark):
+    assert one(spark, 1234, text.athlete_code(F.col("x")), "bigint") == "AT-1234"
     assert one(spark, 7, text.athlete_code(F.col("x")), "bigint") == "AT-007"
     assert one(spark, None, text.full_name(F.lit("Ada"), F.col("x"))) == "Ada "
 
@@ -95,3 +95,8 @@ def test_correlation_of_constant_is_null_and_empty_is_empty(spark):
     assert found["a", "c"].r is None and found["c", "c"].r == 1.0
     assert rows(correlation_long(df.filter("a > 9"), ["a", "b"])) == []
     assert rows(correlation_vector(df.filter("a > 9"), ["a", "b"])) == []
+
+
+@pytest.mark.parametrize("given, expected", [("9007199254740993", 9007199254740993), ("1723456789012345679", 1723456789012345679), ("9007199254740993.0", 9007199254740993), ("9223372036854775808", None), (" 12 ", 12), ("1e3", 1000), ("1.5", None)])
+def test_whole_numbers_are_exact(spark, given, expected):
+    assert one(spark, given, numbers.parse_integer(F.col("x"))) == expected

@@ -149,3 +149,34 @@ def test_running_totals_give_the_frame_mean(spark, n_prev):
     both = timeseries.trailing_mean(df, "v", "fast", w, n_prev)
     both = both.withColumn("slow", F.avg("v").over(w.rowsBetween(-n_prev, 0)))
     assert both.filter(~F.col("fast").eqNullSafe(F.col("slow"))).count() == 0
+
+
+def _with_nulls(df, keys, axis):
+    """The rows, and some whose axis or key is missing."""
+    one = df.limit(3)
+    return df.unionByName(one.withColumn(axis, F.lit(None).cast(df.schema[axis].dataType))).unionByName(
+        df.limit(7).withColumn(keys[0], F.lit(None).cast(df.schema[keys[0]].dataType))
+    )
+
+
+def test_position_keeps_rows_without_axis_or_key(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), (None, 1), (None, 3), ("b", 9)], "k string, a long")
+    assert rows(skew.dense_position(df, ["k"], "a")) == rows(
+        spark.createDataFrame([("a", None, 0), ("a", 5, 1), (None, 1, 0), (None, 3, 1), ("b", 9, 0)], "k string, a long, p long")
+    )
+
+
+def test_missing_axis_and_keys_do_not_depend_on_the_cut(spark, samples, events):
+    keyed = _with_nulls(events, ["athlete_id", "session_id"], "sample_index").cache()
+    small, large = DetectorConfig(hot=HotGroups(max_rows=5, chunk_rows=4)), DetectorConfig(hot=HotGroups(max_rows=10**9))
+    one, two = (rows(sessions.session_summary(keyed, c).select("athlete_id", "session_id", "campioni")) for c in (small, large))
+    assert one == two and any(r[0] is None for r in one)
+    keyed = _with_nulls(samples, ["athlete_id", "session_id"], "sample_id").cache()
+    small, large = DriftConfig(hot=HotGroups(max_rows=5, chunk_rows=4)), DriftConfig(hot=HotGroups(max_rows=10**9))
+    assert timeseries.session_features(keyed, small).count() == timeseries.session_features(keyed, large).count()
+
+
+def test_ranks_use_the_values_themselves(spark):
+    df = spark.createDataFrame([(i, 1.0 + i * 1e-9) for i in range(5)] + [(9, None)], "id int, v double")
+    assert sorted(r.percent_rank for r in population_rank(df, "v").collect() if r.v is not None) == [0.0, 0.25, 0.5, 0.75, 1.0]
+    assert nearest_rank(df, "v", 0.5).first().value == 1.0 + 2e-9
