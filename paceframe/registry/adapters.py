@@ -75,18 +75,21 @@ def _bpm() -> Column:
 
 
 def running_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """GPS and heart-rate samples; a session is a user's week."""
-    return table(spark, sf, "events").select(
+    """GPS and heart-rate samples; a session is a user's week. Some come again later with another value, some lack one."""
+    samples = table(spark, sf, "events").select(
         F.col("event_id").alias("sample_id"),
         (F.col("user_id") + 1).alias("athlete_id"),
         _week("ts").alias("session_id"),
         F.col("ts").alias("timestamp"),
-        _bpm().alias("heart_rate"),
+        F.when(F.col("event_id") % 53 != 3, _bpm()).alias("heart_rate"),
         (F.lit(42.9) + (F.col("event_id") % 97) * F.lit(0.0001)).alias("latitude"),
         (F.lit(12.7) + (F.col("event_id") % 89) * F.lit(0.0001)).alias("longitude"),
         (F.lit(150) + F.col("event_id") % 40).cast("int").alias("cadence"),
         F.lit("sample").alias("event_type"),
     )
+    later = F.col("timestamp") + F.expr("INTERVAL 1 SECOND")
+    again = samples.filter("sample_id % 50 = 7").withColumns({"timestamp": later, "heart_rate": F.lit(99)})
+    return samples.unionByName(again.select(*samples.columns))
 
 
 def anthropometric(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,12 +300,15 @@ _SQL_WEEK = "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS
 
 VIEWS = {
     "running_samples": f"""
-        SELECT event_id AS sample_id, user_id + 1 AS athlete_id, {_SQL_WEEK} AS session_id, ts AS "timestamp",
-               {_SQL_BPM} AS heart_rate,
+        SELECT event_id AS sample_id, user_id + 1 AS athlete_id, {_SQL_WEEK} AS session_id, ts + to_seconds(again) AS "timestamp",
+               CASE WHEN again = 1 THEN 99 WHEN event_id % 53 <> 3 THEN {_SQL_BPM} END AS heart_rate,
                42.9::DOUBLE + (event_id % 97) * 0.0001::DOUBLE AS latitude,
                12.7::DOUBLE + (event_id % 89) * 0.0001::DOUBLE AS longitude,
                CAST(150 + event_id % 40 AS INTEGER) AS cadence, 'sample' AS event_type
-        FROM events""",
+        FROM events CROSS JOIN (VALUES (0), (1)) copies(again) WHERE again = 0 OR event_id % 50 = 7""",
+    "clean_samples": """
+        SELECT * FROM (SELECT * FROM running_samples QUALIFY row_number() OVER (PARTITION BY athlete_id, session_id, sample_id ORDER BY "timestamp") = 1)
+        WHERE heart_rate IS NOT NULL""",
     "anthropometric": """
         SELECT c_custkey // 10 + 1 AS athlete_id, DATE '2024-01-01' + CAST((c_custkey * 7) % 30 AS INTEGER) AS data_rilevazione,
                CAST(150 + c_custkey % 45 AS INTEGER) AS altezza_cm, CAST(50 + (c_custkey * 7) % 60 AS DOUBLE) AS peso_kg
@@ -382,7 +388,7 @@ VIEWS = {
         SELECT *, speed / mean_hr AS efficiency FROM (
             SELECT *, avg(speed) OVER frame AS mean_speed, avg(heart_rate) OVER frame AS mean_hr FROM (
                 SELECT *, {sql_haversine("plat", "plon", "latitude", "longitude")} / 5.0::DOUBLE AS speed FROM (
-                    SELECT *, lag(latitude) OVER s AS plat, lag(longitude) OVER s AS plon FROM running_samples
+                    SELECT *, lag(latitude) OVER s AS plat, lag(longitude) OVER s AS plon FROM clean_samples
                     WINDOW s AS (PARTITION BY athlete_id, session_id ORDER BY sample_id)))
             WINDOW frame AS (PARTITION BY athlete_id, session_id ORDER BY sample_id ROWS BETWEEN 60 PRECEDING AND CURRENT ROW))""",
     "drift": """
@@ -414,10 +420,11 @@ NEEDS = {
     "good_sets": ("exercises", "all_sets"),
     "weekly_cardio": ("daily_loads",),
     "hr_samples": ("hr_records",),
-    "features": ("running_samples",),
-    "drift": ("running_samples", "features"),
-    "crisis": ("running_samples", "features", "drift"),
-    "population": ("running_samples", "anthropometric", "features", "drift", "crisis"),
+    "clean_samples": ("running_samples",),
+    "features": ("running_samples", "clean_samples"),
+    "drift": ("running_samples", "clean_samples", "features"),
+    "crisis": ("running_samples", "clean_samples", "features", "drift"),
+    "population": ("running_samples", "clean_samples", "anthropometric", "features", "drift", "crisis"),
     "endurance_days": ("endurance_samples",),
     "endurance_index": ("endurance_samples", "endurance_days"),
 }

@@ -236,7 +236,7 @@ def _(spark, sf):
     SELECT athlete_id, session_id, CASE WHEN heart_rate < 120 THEN 'z1_recovery' WHEN heart_rate < 140 THEN 'z2_aerobic'
            WHEN heart_rate < 160 THEN 'z3_tempo' WHEN heart_rate < 175 THEN 'z4_threshold' ELSE 'z5_vo2max' END AS zone,
            count(*) AS samples, count(*) * 5.0::DOUBLE AS seconds
-    FROM running_samples GROUP BY 1, 2, 3""", "running_samples"))
+    FROM running_samples WHERE heart_rate IS NOT NULL GROUP BY 1, 2, 3""", "running_samples"))
 def _(spark, sf):
     return rollups.time_in_zone(A.running_samples(spark, sf), 5.0)
 

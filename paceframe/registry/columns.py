@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @C.add("B9_heart_rate_zone", with_views("""
     SELECT sample_id, CASE WHEN heart_rate < 120 THEN 'z1_recovery' WHEN heart_rate < 140 THEN 'z2_aerobic'
-           WHEN heart_rate < 160 THEN 'z3_tempo' WHEN heart_rate < 175 THEN 'z4_threshold' ELSE 'z5_vo2max' END AS zone
+           WHEN heart_rate < 160 THEN 'z3_tempo' WHEN heart_rate < 175 THEN 'z4_threshold' WHEN heart_rate IS NOT NULL THEN 'z5_vo2max' END AS zone
     FROM running_samples""", "running_samples"))
 def _(spark, sf):
     return A.running_samples(spark, sf).select("sample_id", numbers.heart_rate_zone(F.col("heart_rate")).alias("zone"))

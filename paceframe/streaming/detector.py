@@ -14,6 +14,7 @@ from paceframe.config import DetectorConfig
 from paceframe.functions.text import alarm_text
 from paceframe.operators.stillness import metres, scan
 from paceframe.schemas import table_schema
+from paceframe.streaming.ingest import without_redelivery
 
 OUTPUT = (
     "kind string, athlete_id string, session_id bigint, sample_index bigint, still_for bigint, latitude double, "
@@ -162,15 +163,15 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), late_by: s
     """Tagged rows (``kind`` alert or summary) from a stream of canonical events with ``event_time``.
 
     Keyed by athlete and session, so the result does not depend on the broker's message key.
+    A sample delivered again within the lateness bound is dropped first, as in the batch summary.
     """
-    slim = events.select(
+    slim = without_redelivery(events, late_by, same_time=True).select(
         "athlete_id", "session_id", "event_time", F.unix_millis("event_time").alias("event_ms"),
         (F.col("event_type") == "session_end").alias("is_end"), "sample_index", "latitude", "longitude",
         "heart_rate_bpm", "cadence_spm",
     )
     tagged = (
-        slim.withWatermark("event_time", late_by)
-        .groupBy("athlete_id", "session_id")
+        slim.groupBy("athlete_id", "session_id")
         .transformWithState(SessionProcessor(cfg), OUTPUT, "append", "eventtime")
     )
     message = alarm_text(*[F.col(c) for c in ("athlete_id", "still_for", "latitude", "longitude", "heart_rate_bpm")])

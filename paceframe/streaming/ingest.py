@@ -35,7 +35,12 @@ def heart_rate_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid.drop("malformed", "raw"), dead.select("raw", "reasons")
 
 
-def without_redelivery(events: DataFrame, late_by: str = "10 minutes") -> DataFrame:
-    """Drop repeated deliveries of a sample that arrive within the lateness bound."""
+def without_redelivery(events: DataFrame, late_by: str = "10 minutes", same_time: bool = False) -> DataFrame:
+    """Drop repeated deliveries of a sample that arrive within the lateness bound.
+
+    With ``same_time`` only records of one event time are the same, so a session that starts
+    again after its end marker may count its samples from the beginning.
+    """
     keyed = events.withWatermark("event_time", late_by)
-    return keyed.dropDuplicatesWithinWatermark(["athlete_id", "session_id", "sample_index", "event_type"])
+    same = ["athlete_id", "session_id", "sample_index", "event_type"]
+    return keyed.dropDuplicatesWithinWatermark([*same, "event_time"] if same_time else same)

@@ -93,13 +93,21 @@ def test_second_dialect_alarms(spark, topic, tmp_path):
     assert rows(alerts, "athlete_id", "sample_index") == [("9", 30)]
 
 
-def test_late_and_repeated_samples_count_but_do_not_move_the_anchor(spark, topic, tmp_path):
+def test_late_samples_count_repeated_ones_do_not_and_neither_moves_the_anchor(spark, topic, tmp_path):
     topic.send(*[sample(i, bpm=150.0) for i in range(0, 20, 2)])
     topic.send(sample(3, bpm=190.0, lat=43.0), sample(18, bpm=150.0, lat=43.0))
     topic.send(sample(20, bpm=150.0), end(21))
     alerts, summaries = detect(spark, topic, tmp_path)
     assert rows(alerts) == []
-    assert rows(summaries, "campioni", "frequenza_cardiaca_max", "distanza_totale") == [(13, 190.0, 0.0)]
+    assert rows(summaries, "campioni", "frequenza_cardiaca_max", "distanza_totale") == [(12, 190.0, 0.0)]
+
+
+def test_redelivered_samples_count_once(spark, topic, tmp_path):
+    topic.send(*[sample(i, bpm=100.0 + i) for i in range(4)])
+    topic.send(*[sample(3, bpm=103.0)] * 2)
+    topic.send(sample(3, bpm=103.0), end(4))
+    _, summaries = detect(spark, topic, tmp_path)
+    assert rows(summaries, "campioni", "frequenza_cardiaca_media") == [(4, 101.5)]
 
 
 def test_idle_session_times_out(spark, topic, tmp_path):
