@@ -46,7 +46,7 @@ def words(x: Column) -> Column:
 
 
 def alarm_text(athlete: Column, still_for: Column, lat: Column, lon: Column, bpm: Column) -> Column:
-    """Message of a stillness alarm."""
+    """Message of a stillness alarm; the place of a missing heart rate stays empty."""
     # Fixed value: message format.
     template = "Atleta %s fermo da %d s in posizione %.6f, %.6f (bpm %.0f)"
     return F.format_string(template, athlete, still_for, lat, lon, bpm)

@@ -293,7 +293,7 @@ def _(spark, sf):
 
 @C.add("H14_alarm_text", with_views("""
     SELECT sample_id, format('Atleta {} fermo da {} s in posizione {:.6f}, {:.6f} (bpm {})', athlete_id, sample_id % 90,
-                             latitude, longitude, heart_rate) AS message
+                             latitude, longitude, coalesce(CAST(heart_rate AS VARCHAR), '')) AS message
     FROM running_samples""", "running_samples"))
 def _(spark, sf):
     s = A.running_samples(spark, sf)
