@@ -21,19 +21,20 @@ def exercise_correlations(sets: DataFrame) -> DataFrame:
 
     The exercises are those found in the data, any number of them. Pairs use the days with
     both (definition ours); an undefined pair is NULL, an exercise with itself 1; ``rows``
-    counts the athlete's training days. Pairs are made per day and summed, so their number
-    is bounded by what an athlete trains on one day. Starts a job: the daily means feed
-    three aggregations and are written once.
+    counts the athlete's training days. A day is one row with its different exercises, and pairs
+    are made within it, so their number is bounded by what an athlete trains on one day.
+    Starts a job: the days feed three aggregations and are written once.
     """
-    daily = written(daily_loads(sets), "daily-loads")
-    known = daily.filter(F.col("load").isNotNull())
-    days = daily.groupBy("athlete_id").agg(F.count_distinct("day").alias("rows"))
-    x = known.select("athlete_id", "day", F.col("exercise").alias("x"), F.col("load").alias("load_x"))
-    y = known.select("athlete_id", "day", F.col("exercise").alias("y"), F.col("load").alias("load_y"))
-    upper = x.join(y, ["athlete_id", "day"]).filter(F.col("x") < F.col("y"))
-    related = upper.groupBy("athlete_id", "x", "y").agg(safe_corr(F.col("load_x"), F.col("load_y")).alias("r"))
+    one = F.struct("exercise", "load")
+    days = daily_loads(sets).groupBy("athlete_id", "day").agg(F.collect_list(F.when(F.col("load").isNotNull(), one)).alias("loads"))
+    days = written(days, "daily-loads")
+    x = days.select("athlete_id", "loads", F.explode("loads").alias("x"))
+    pairs = x.select("athlete_id", "x", F.explode("loads").alias("y")).filter(F.col("x.exercise") < F.col("y.exercise"))
+    named = pairs.select("athlete_id", F.col("x.exercise").alias("x"), F.col("y.exercise").alias("y"), F.col("x.load").alias("load_x"), F.col("y.load").alias("load_y"))
+    related = named.groupBy("athlete_id", "x", "y").agg(safe_corr(F.col("load_x"), F.col("load_y")).alias("r"))
     both = related.unionByName(related.select("athlete_id", F.col("y").alias("x"), F.col("x").alias("y"), "r"))
-    own = known.select("athlete_id", F.col("exercise").alias("x")).distinct()
+    own = x.select("athlete_id", F.col("x.exercise").alias("x")).distinct()
     grid = own.join(own.withColumnRenamed("x", "y"), "athlete_id").join(both, ["athlete_id", "x", "y"], "left")
     r = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("r")).alias("r")
-    return grid.join(days, "athlete_id").select("athlete_id", "x", "y", r, "rows")
+    counts = days.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("rows"))
+    return grid.join(counts, "athlete_id").select("athlete_id", "x", "y", r, "rows")
