@@ -88,7 +88,7 @@ def overlap(same: np.ndarray, least: int, ratio: float) -> tuple[int, int] | Non
 
 def _find(shared, least: int, ratio: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        items = Items(*shared.value)
         tokenizer, sieve = Tokenizer(), items.sieve()
         for batch in batches:
             for part in parts(batch, "_text", 1 << 20):
@@ -155,7 +155,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     out = None
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items.of([r["item_id"] for r in own], [bytes(r["text"]) for r in own]))
+        items = Items.of([r["item_id"] for r in own], [bytes(r["text"]) for r in own])
+        # plain values, so that workers need not have this package installed
+        shared = spark.sparkContext.broadcast((items.names, items.tokens, items.seed, items.item, items.place))
         found = map_batches(narrow, _find(shared, least, ratio), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("_id", key)

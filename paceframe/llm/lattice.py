@@ -217,10 +217,11 @@ def fit(words: DataFrame, texts: int, pieces: Pieces, rounds: int = 2, smoothing
     """
     context = words.sparkSession.sparkContext
     for _ in range(rounds):
-        shared = context.broadcast(pieces)
+        shared = context.broadcast((pieces.hashes, pieces.sizes, pieces.log_p))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(shared.value), np.zeros(len(shared.value.log_p))
+            own = Pieces(*shared.value)
+            lattice, total = Lattice(own), np.zeros(len(own.log_p))
             for batch in batches:
                 total += lattice.expected([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()], batch.column("c").to_numpy())
             some = np.flatnonzero(total)
@@ -257,11 +258,11 @@ def scored(df: DataFrame, vocabulary: str, train: Column, key: str = "doc_id", t
     facts = raw.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("uses")).first()
     n, v, uses = (facts[0] or 0) + texts, facts[1] + (texts > 0), facts[2] or 0
     pieces = fit(raw, texts, Pieces.read(vocabulary), rounds)
-    model = spark.sparkContext.broadcast(pieces)
+    model = spark.sparkContext.broadcast((pieces.hashes, pieces.sizes, pieces.log_p))
     total = n + 0.5 * (v + 1)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model.value)
+        lattice = Lattice(Pieces(*model.value))
         for batch in batches:
             log_p = lattice.marginal([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]) * TO_LOG10
             base = np.log10((batch.column("c").to_numpy() + 0.5) / total)

@@ -201,10 +201,10 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     # A kept text crosses to Python once.
     rest = F.struct(F.lit(0).alias("_none"), *[c for c in keep if c != text])
     narrow = df.select(F.col(key).alias("_id"), whole, rest.alias("_rest"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, own = Tokenizer(), shared.value
+        tokenizer, own = Tokenizer(), Model(*shared.value)
         sieve = own.sieve()
         for batch in batches:
             for part in parts(batch, "_text", 1 << 20):
