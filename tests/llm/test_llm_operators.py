@@ -190,6 +190,19 @@ def check_pieces(pieces, expected, limit):
     return padding, by_sequence
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    plain, quick = Tokenizer.from_file(file), packing.WordIds(file)
+    plain.encode_special_tokens = True
+    parts = ["a", "B", "e", "É", "ß", "İ", "I", "\u0307", "\u0301", ".", ",", "!", "?", ";", ":", "'s", "'LL", " ", "\n", "\t", "\r", "\xa0", "7", "÷", "日", "<|endoftext|>", "K", "\x1c", "#"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    found = quick([x.encode() for x in texts])
+    assert found == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_packing_keeps_every_id_in_one_piece(spark):
     from tokenizers import Tokenizer
 
