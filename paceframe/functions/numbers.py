@@ -22,6 +22,11 @@ def parse_number(x: Column, default: float | None = 0.0) -> Column:
     return F.when(is_finite(value), value).otherwise(F.lit(default).cast("double"))
 
 
+def checked_cast(x: Column, low: float, high: float, kind: str) -> Column:
+    """Cast of the values from ``low`` to ``high``; others are NULL, never wrapped or cut."""
+    return F.when(x.between(low, high), x.cast(kind))
+
+
 def parse_integer(x: Column) -> Column:
     """Text to bigint when it is a whole number, else NULL; exact over the whole range of bigint."""
     text = x.cast("string")

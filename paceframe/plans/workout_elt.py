@@ -92,6 +92,21 @@ def expand_sets(raw: DataFrame) -> DataFrame:
     )
 
 
+def unreadable_documents(raw: DataFrame) -> DataFrame:
+    """Quarantine rows of documents that are no JSON, are blank, or hold a field of a wrong type.
+
+    One row per document, without set values; exercises of such a document that could be read are loaded.
+    """
+    text = F.col("struttura_allenamento")
+    schema = T.StructType([*WORKOUT_DOCUMENT.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = parsed_once(raw, text, schema, [*HEADER, (F.trim(text) == "").alias("blank")])
+    values = {"nome": "string", "serie": "bigint", "ripetizioni": "bigint", "recupero": "bigint", "carico": "double"}
+    return parsed.filter("blank or _corrupt_record is not null").select(
+        *HEADER, *[F.lit(None).cast(kind).alias(name) for name, kind in values.items()],
+        F.array(F.lit("document_unreadable")).alias("reasons"),
+    )
+
+
 def set_rules() -> Rules:
     """Ranges of the target columns."""
     return {
@@ -103,8 +118,9 @@ def set_rules() -> Rules:
 
 
 def workout_sets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the final table, rows out of range with reasons) of staged workouts."""
-    return checked_sets(expand_sets(raw))
+    """(rows of the final table, quarantine with reasons) of staged workouts."""
+    sets, rejected = checked_sets(expand_sets(raw))
+    return sets, rejected.unionByName(unreadable_documents(raw))
 
 
 def checked_sets(expanded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,6 +178,7 @@ def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     in_range = F.col("allenamento_id").between(control["first_id"], control["last_id"])
     # one parse, kept in the shared folder, feeds both writes
     sets, rejected = checked_sets(written(expand_sets(staged), "expanded-sets"))
+    rejected = rejected.unionByName(unreadable_documents(staged))
     known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
     new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
     loaded = target.filter(in_range).select("allenamento_id").distinct()

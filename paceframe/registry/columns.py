@@ -362,8 +362,8 @@ def _(spark, sf):
 def _(spark, sf):
     small, load = F.col("l_quantity") * 10, F.floor("l_extendedprice") / 100
     return A.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.when(small.between(0, 255), small.cast("int")).alias("small"),
-        F.when(load <= 999.99, load.cast("decimal(5,2)")).cast("double").alias("load"),
+        "l_orderkey", "l_linenumber", "l_partkey", numbers.checked_cast(small, 0, 255, "int").alias("small"),
+        numbers.checked_cast(load, -999.99, 999.99, "decimal(5,2)").cast("double").alias("load"),
     )
 
 

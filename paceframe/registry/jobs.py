@@ -59,7 +59,10 @@ def _(spark, sf):
 @C.add("L2_quarantined_sets", with_views("""
     SELECT allenamento_id, nome, serie, concat_ws(',', CASE WHEN recupero > 255 THEN 'recupero_range' END,
              CASE WHEN abs(carico) > 999.99 THEN 'carico_range' END) AS reasons
-    FROM all_sets WHERE recupero > 255 OR abs(carico) > 999.99""", "all_sets"))
+    FROM all_sets WHERE recupero > 255 OR abs(carico) > 999.99
+    UNION ALL
+    SELECT l_orderkey, NULL, NULL, 'document_unreadable' FROM lineitem WHERE l_orderkey % 53 = 0 AND l_orderkey % 50 <> 0 AND l_orderkey % 51 <> 0
+    """, "all_sets"))
 def _(spark, sf):
     _, rejected = workout_elt.workout_sets(workout_elt.to_raw(A.workouts(spark, sf)))
     return rejected.select("allenamento_id", "nome", "serie", F.array_join("reasons", ",").alias("reasons"))

@@ -97,3 +97,9 @@ def test_monthly_table_appends(spark, tmp_path):
     for _ in range(2):
         files.write_monthly(df, str(tmp_path / "m"), "ts", ["id"])
     assert rows(spark.read.parquet(str(tmp_path / "m")), "ym", "id") == [(202401, 1), (202401, 1), (202402, 2), (202402, 2)]
+
+
+def test_day_cut_of_the_mean_index_reaches_the_scan(spark, sf, tmp_path):
+    A.endurance_samples(spark, sf).write.parquet(str(tmp_path / "samples"))
+    found = training_status.mean_index(spark.read.parquet(str(tmp_path / "samples")), F.lit("2024-02-25").cast("date"))
+    assert "GreaterThanOrEqual(ts" in found._jdf.queryExecution().toString()

@@ -30,13 +30,29 @@ def test_one_row_per_set(spark):
 
 
 @pytest.mark.parametrize("document", [
-    None, {}, "not json", '{"esercizi":[', {"esercizi": []}, {"esercizi": None}, {"esercizi": [{**BENCH, "serie": 0}]},
+    None, {}, {"esercizi": []}, {"esercizi": None}, {"esercizi": [{**BENCH, "serie": 0}]},
     {"esercizi": [{"nome": "x"}]}, {"allenamento": {"esercizi": [{"nome": "x", "serie": []}]}}, {"allenamento": {}},
 ])
 def test_no_rows(spark, document):
     assert sets(spark, document) == ([], [])
 
 
+@pytest.mark.parametrize("document", ["not json", "", '{"esercizi":[', {"esercizi": [{**BENCH, "serie": "4"}]}, '{"esercizi":[{"nome":"x","serie":3.0}]}'])
+def test_unreadable_documents_are_quarantined(spark, document):
+    good, bad = sets(spark, document, {"esercizi": [PLANK]})
+    assert len(good) == 3
+    assert bad == [(None, None, ["document_unreadable"])]
+
+
+def test_a_load_quarantines_unreadable_documents_once(spark, tmp_path):
+    paths = W.LoadPaths(*[str(tmp_path / n) for n in ("staging", "target", "quarantine")])
+    todo = source(spark, {"esercizi": [BENCH]}, "not json", {"esercizi": [PLANK]})
+    W.run_load(todo, paths)
+    W.to_raw(todo).write.mode("append").parquet(paths.staging)
+    W.run_load(todo, paths)
+    assert rows(spark.read.parquet(paths.quarantine), "allenamento_id", "reasons") == [(2, ["document_unreadable"])]
+
+
 def test_listed_sets(spark):
     listed = {"nome": "Military Press", "serie": [{"numero": 1, "ripetizioni": 10, "carico_kg": 30}, {"ripetizioni": 8}]}
     good, _ = sets(spark, {"allenamento": {"esercizi": [listed]}})
