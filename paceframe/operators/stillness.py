@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from paceframe.config import EARTH_RADIUS_M, DetectorConfig
 from paceframe.functions.text import alarm_text
 from paceframe.operators.sessions import SESSION, unique_events
-from paceframe.operators.skew import chunk_with_halo, dense_position, hot_keys, split_hot
+from paceframe.operators.skew import chunk_with_halo, dense_position, group_key, hot_keys, split_hot
 from paceframe.runtime import send_by_value, written
 
 send_by_value()
@@ -85,7 +85,8 @@ def _scan_partition(cfg: DetectorConfig) -> Callable[[Iterator[pd.DataFrame]], I
             breaks = (pdf["athlete_id"] != pdf["athlete_id"].shift()) | (pdf["session_id"] != pdf["session_id"].shift())
             starts = [*breaks.to_numpy().nonzero()[0].tolist(), len(pdf)]
             rows = list(_samples(pdf))
-            owners = list(zip(pdf["athlete_id"].tolist(), pdf["session_id"].tolist(), strict=True))
+            # a missing session is NaN, which equals nothing
+            owners = [(a, None if s != s else s) for a, s in zip(pdf["athlete_id"].tolist(), pdf["session_id"].tolist(), strict=True)]
             for begin, end in zip(starts, starts[1:], strict=False):
                 if owners[begin] != current:
                     current, state = owners[begin], None
@@ -98,11 +99,12 @@ def _scan_partition(cfg: DetectorConfig) -> Callable[[Iterator[pd.DataFrame]], I
 
 def _piece(cfg: DetectorConfig, want_alerts: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
+        pdf = pdf.sort_values("sample_index", na_position="first")
         first = pdf.iloc[0]
         entry = None
         if bool(first["known"]):
-            entry = (first["e_lat"], first["e_lon"], int(first["e_idx"]), bool(first["e_alarmed"]))
+            index = math.nan if pd.isna(first["e_idx"]) else int(first["e_idx"])
+            entry = (first["e_lat"], first["e_lon"], index, bool(first["e_alarmed"]))
         state, alerts = scan(_samples(pdf), entry, cfg)
         if want_alerts:
             rows = [(key[0], key[1], *a) for a in alerts]
@@ -124,14 +126,19 @@ ENTRY = ["known", "e_lat", "e_lon", "e_idx", "e_alarmed"]
 
 
 def _hot_alerts(big: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Alarms of hot sessions by rounds over their pieces. Starts one job per round."""
+    """Alarms of hot sessions by rounds over their pieces. Starts one job per round. Missing keys are equal."""
     keys = [*SESSION, "_chunk"]
+
+    def piece(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_g", group_key(keys))
+
     placed = dense_position(unique_events(big), SESSION, "sample_index")
     cut = written(chunk_with_halo(placed, cfg.hot.chunk_rows, 0).select(*keys, *COLUMNS), "stillness-pieces")
 
     def scan_pieces(pieces: DataFrame, entries: DataFrame, alerts: bool) -> DataFrame:
         # one entry row per piece: bounded by hot rows / chunk_rows
-        fed = pieces.join(F.broadcast(entries), keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        fed = piece(pieces).join(F.broadcast(piece(entries).drop(*keys)), "_g", "left").drop("_g")
+        fed = fed.withColumn("known", F.coalesce("known", F.lit(False)))
         schema = ALERT_SCHEMA if alerts else ENTRY_SCHEMA
         return fed.groupBy(*keys).applyInPandas(_piece(cfg, alerts), schema)
 
@@ -139,16 +146,16 @@ def _hot_alerts(big: DataFrame, cfg: DetectorConfig) -> DataFrame:
     entries = written(scan_pieces(cut, spark.createDataFrame([], ENTRY_SCHEMA), False), "stillness-entry")
     stale = entries
     while not stale.isEmpty():
-        again = cut.join(F.broadcast(stale.select(*keys)), keys, "left_semi")
+        again = piece(cut).join(F.broadcast(piece(stale).select("_g")), "_g", "left_semi").drop("_g")
         exits = written(scan_pieces(again, entries, False), "stillness-exit")
         now = F.struct(*[F.col(f"n.{c}") for c in ENTRY])
         before = F.struct(*[F.col(f"o.{c}") for c in ENTRY])
-        same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in keys]
+        same = F.col("n._g") == F.col("o._g")
         stale = written(
-            exits.alias("n").join(entries.alias("o"), same, "left").filter(~now.eqNullSafe(before)).select("n.*"),
+            piece(exits).alias("n").join(piece(entries).alias("o"), same, "left").filter(~now.eqNullSafe(before)).select("n.*").drop("_g"),
             "stillness-stale",
         )
-        kept = entries.join(stale.select(*keys), keys, "left_anti")
+        kept = piece(entries).join(piece(stale).select("_g"), "_g", "left_anti").drop("_g")
         entries = written(kept.unionByName(stale), "stillness-entry")
     return scan_pieces(cut, entries, True)
 

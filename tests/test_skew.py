@@ -111,6 +111,18 @@ def test_stillness_does_not_depend_on_the_cut(events, move_m):
     assert found and found == rows(cut)
 
 
+@pytest.mark.parametrize("missing", ["athlete_id", "session_id"])
+def test_stillness_without_a_key_does_not_depend_on_the_cut(spark, missing):
+    columns = "athlete_id string, session_id bigint, sample_index bigint, latitude double, longitude double, heart_rate_bpm double"
+    data = [(None if missing == "athlete_id" else "1", None if missing == "session_id" else 1, i, 42.9 + (i // 45) * 0.001, 12.7, 185.0) for i in range(200)]
+    df = spark.createDataFrame(data, columns).withColumn("timestamp", F.timestamp_seconds(F.col("sample_index"))).withColumn("event_type", F.lit("sample"))
+    df = _with_nulls(df, [missing], "sample_index").cache()
+    found = rows(stillness.stillness_alerts(df), "sample_index", missing)
+    assert all(r[1] is None for r in found)
+    cut = stillness.stillness_alerts(df, DetectorConfig(hot=HotGroups(max_rows=60, chunk_rows=13)))
+    assert found == rows(cut, "sample_index", missing) and [r[0] for r in found] == [120, 165, 75]
+
+
 def test_empty_input(spark, samples):
     none = samples.filter("athlete_id < 0")
     assert rows(timeseries.crisis_points(none)) == []
