@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceframe.llm.batches import Tokenizer, fields, map_batches, mixed, parts
+from paceframe.llm.batches import Tokenizer, Tokens, fields, map_batches, mixed, parts
 
 #: Token places that a seed reads. One of the two fits without a mismatch into every overlap of 13 tokens or
 #: more of which four fifths agree (checked by enumeration for 13 to 25 tokens, which longer overlaps contain).
@@ -28,7 +28,7 @@ def seeds(tokens: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     if n <= 0:
         return tokens[:0]
     total = np.full(n, salt, np.uint64)
-    for place, factor in zip(mask, FACTORS, strict=True):
+    for place, factor in zip(mask, FACTORS, strict=False):
         total += tokens[place : place + n] * factor
     return mixed(total)
 
@@ -66,6 +66,18 @@ class Items:
         return table
 
 
+    def short(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length below a seed's: the hashes of the items of that length in order, and the items."""
+        out = []
+        for size in range(1, len(MASKS[0])):
+            item = np.array([i for i, own in enumerate(self.tokens) if len(own) == size], np.int64)
+            if len(item):
+                hashes = np.concatenate([seeds(self.tokens[i], tuple(range(size)), size) for i in item])
+                order = np.argsort(hashes, kind="stable")
+                out.append((size, hashes[order], item[order]))
+        return out
+
+
 def overlap(same: np.ndarray, least: int, ratio: float) -> tuple[int, int] | None:
     """The longest range of at least ``least`` places that starts and ends at an agreement and of whose places
     ``ratio`` or more agree; the first of equals."""
@@ -86,10 +98,26 @@ def overlap(same: np.ndarray, least: int, ratio: float) -> tuple[int, int] | Non
     return best
 
 
-def _find(shared, least: int, ratio: float):
+def _first_places(tokens: Tokens, size: int, known: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, item, place in the text) where a whole item of ``size`` tokens stands first."""
+    hashes = seeds(tokens.hashes, tuple(range(size)), size)
+    first, last = np.searchsorted(known, hashes), np.searchsorted(known, hashes, "right")
+    place = np.flatnonzero(last > first)
+    row = np.searchsorted(tokens.bounds, place, "right") - 1
+    whole = place + size <= tokens.bounds[row + 1]
+    place, row = place[whole], row[whole]
+    # the first place of each text and hash, then that hash's items
+    _, once = np.unique(np.stack((row, first[place])), axis=1, return_index=True)
+    for p, r in zip(place[once].tolist(), row[once].tolist(), strict=True):
+        for k in range(first[p], last[p]):
+            yield r, int(item[k]), p - int(tokens.bounds[r])
+
+
+def _find(shared, least: int, ratio: float, short: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
         tokenizer, sieve = Tokenizer(), items.sieve()
+        whole_items = items.short() if short else []
         for batch in batches:
             for part in parts(batch, "_text", 1 << 20):
                 tokens = tokenizer(part.column("_text"))
@@ -105,6 +133,9 @@ def _find(shared, least: int, ratio: float):
                     for p, r, a, b in zip(*(x[whole].tolist() for x in (place, row, first, last)), strict=True):
                         for k in range(a, b):
                             diagonals[r, int(items.item[k])].add(p - int(tokens.bounds[r]) - int(items.place[k]))
+                for size, known, item in whole_items:
+                    for r, i, shift in _first_places(tokens, size, known, item):
+                        diagonals[r, i].add(shift)
                 rows = []
                 for (r, i), shifts in sorted(diagonals.items()):
                     own, text = items.tokens[i], tokens.hashes[tokens.bounds[r] : tokens.bounds[r + 1]]
@@ -131,14 +162,14 @@ def _find(shared, least: int, ratio: float):
 NAMES = ["_id", "_row", "item_id", "start", "end", "item_start", "n_same", "item_tokens"]
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, ratio: float = 0.8, block_bytes: int = 32 << 20) -> DataFrame:
+def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 13, ratio: float = 0.8, block_bytes: int = 32 << 20, short: bool = False) -> DataFrame:
     """Documents that hold benchmark text: one row per document and item, with the longest overlap.
 
     Columns: key, ``_row`` (a hash of the row), item id (an integer), ``start`` and ``end`` (tokens of the document, end
     exclusive), ``item_start``, ``n_same`` (agreeing tokens), ``item_tokens``. Tokens are runs of letters and digits, A-Z
     lower-cased; an overlap lines a document up with an item without gaps, has ``least`` tokens or more and agrees in at
     least ``ratio`` of them. Items of fewer than ``least`` tokens must appear whole and unchanged; those of fewer than
-    five have no seed and are never found.
+    five have no seed and are found, by an exact hash of the whole item, only if ``short`` is set.
 
     The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text (a larger item is a block of its
     own), each against all documents; a benchmark of one block, the usual case, takes one pass without a shuffle.
@@ -158,7 +189,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         items = Items.of([r["item_id"] for r in own], [bytes(r["text"]) for r in own])
         # plain values, so that workers need not have this package installed
         shared = spark.sparkContext.broadcast((items.names, items.tokens, items.seed, items.item, items.place))
-        found = map_batches(narrow, _find(shared, least, ratio), schema)
+        found = map_batches(narrow, _find(shared, least, ratio, short), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("_id", key)
 
