@@ -40,6 +40,8 @@ class WordIds:
     words end in a token of their own kind, such as ``word_bpe_49k.json``. A-Z are lower-cased and a mark between one of
     a-z and the end of its chunk is made a chunk of its own before the look-up, which changes no ids and leaves fewer
     different chunks. Chunks of lower-case Latin letters go, many at a time, to the file's model without its slower normaliser.
+    A special token's name in a text, such as ``<|endoftext|>``, is text and encoded as plain characters, unlike the
+    tokenizer's default.
     The first ``REMEMBERED`` chunks are kept, which soon has all the common ones; the rest are looked up again when they
     come again.
     """
