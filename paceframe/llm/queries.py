@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceframe.llm import decontaminate, lattice, line_dedup, nearest, packing, secrets, sharding, simhash, toxicity, url_filter
+from paceframe.llm import alignment, decontaminate, lattice, line_dedup, nearest, packing, prefix_trie, secrets, sharding, simhash, toxicity, url_filter, warc
 
 # The rules that the url query applies.
 URL_RULES = (
@@ -18,6 +18,7 @@ URL_RULES = (
 MIN_DOCS = 10
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,10 +100,33 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(remainder(), F.lit(-1)) == 1)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    found = warc.Archive.write(table(spark, sf_dir, "pages")).read(payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every common beginning of the conversations, which share their heads in groups of twenty."""
+    turns, lengths = prefix_trie.with_shared_heads(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.PrefixTrie.empty(spark).insert(turns, lengths).expanded()
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of byte-level tokens and pieces, and how common their links are over all documents."""
+    found = alignment.groups(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256")
+    counted = alignment.with_counts(found.select("doc_id", *alignment.COUNTS, digest, "pairs", "times"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_line_dedup, op3_decontaminate, op4_packing, op5_secrets, op6_sharding, op7_nearest, op8_toxicity, op9_simhash, op10_lattice)
-}
+    for f in (
+        op1_url_filter, op2_line_dedup, op3_decontaminate, op4_packing, op5_secrets, op6_sharding, op7_nearest, op8_toxicity, op9_simhash, op10_lattice,
+        op11_warc, op12_prefix_trie, op13_alignment,
+    )
+}
 
 _TRIMMED = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
