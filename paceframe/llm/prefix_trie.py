@@ -115,28 +115,18 @@ def slabs(turns: DataFrame) -> DataFrame:
     return named.select("conv_id", F.col("number").alias("slab"), F.col("start").alias("root"), path.alias("path"), F.col("body.words").alias("words"))
 
 
-def fattest(a: Column, b: Column) -> Column:
-    """The number in (a, b] that the largest power of two divides, for 0 <= a < b <= ``SLAB``."""
-    out = b
-    for bit in range(1, SLAB.bit_length()):
-        rounded = b - b % F.lit(1 << bit)
-        out = F.when(rounded > a, rounded).otherwise(out)
-    return out
-
-
-def _node(root: Column, slab: Column, low: Column, depth: Column, path: Column, words: Column) -> list[Column]:
-    """A compacted node's columns: its edge covers the depths (low, depth] of the slab."""
-    low, depth = low.cast("int"), depth.cast("int")
-    return [
-        F.element_at(path, depth).alias("id"), F.when(low == 0, root).otherwise(F.element_at(path, F.greatest(low, F.lit(1)))).alias("up"), root.alias("root"), slab.alias("slab"),
-        low.alias("low"), depth.alias("depth"), F.element_at(path, low + 1).alias("name"), F.element_at(path, fattest(low, depth)).alias("handle"),
-        F.slice(path, F.lit(1), depth).alias("path"), F.slice(words, F.lit(1), depth).alias("words"),
-    ]
+def fattest(a: str, b: str) -> str:
+    """SQL for the number in (a, b] that the largest power of two divides, for 0 <= a < b: b without the bits below the highest
+    one in which they differ."""
+    return f"CAST({b} - {b} % shiftleft(1, char_length(bin({a} ^ {b})) - 1) AS int)"
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common beginning of two lists of prefix hashes."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same))
+def _node(low: str, depth: str) -> list[str]:
+    """SQL of a compacted node's columns; its edge covers the depths (low, depth] of the slab."""
+    return [
+        f"element_at(path, {depth}) AS id", f"IF({low} = 0, root, element_at(path, greatest({low}, 1))) AS up", "root", "slab", f"{low} AS low", f"{depth} AS depth",
+        f"element_at(path, {low} + 1) AS name", f"element_at(path, {fattest(low, depth)}) AS handle", f"slice(path, 1, {depth}) AS path", f"slice(words, 1, {depth}) AS words",
+    ]
 
 
 def locate(strings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,39 +138,30 @@ def locate(strings: DataFrame, nodes: DataFrame) -> DataFrame:
     found, b becomes f - 1. Each of the ``STEPS`` look-ups is a join by handle for all strings at once; a last one finds the
     child by the hash after a, where the exit edge's handle is deeper than the string follows it.
     """
-    size = F.size("path")
-    at = strings.withColumns({"_a": F.lit(0), "_b": size, "exit": F.lit(None).cast("string"), "exit_depth": F.lit(None).cast("int"), "_other": F.lit(None).cast("array<string>")})
-    found = nodes.select(F.col("handle").alias("_handle"), F.col("id").alias("_id"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-    carried = [*strings.columns, "_a", "_b", "exit", "exit_depth", "_other"]
-    # strings that need no look-up are dealt by their own end, which is no handle of a node that they could meet
-    alone = F.concat(F.lit("-"), F.col("end"))
+    own = strings.columns
+    at = strings.selectExpr(*own, "0 AS _a", "size(path) AS _b", "CAST(NULL AS string) AS exit", "CAST(NULL AS int) AS exit_depth", "CAST(NULL AS array<string>) AS _other")
+    # strings that need no look-up are dealt by their own end, marked so that it is no handle
+    by_handle = nodes.selectExpr("handle AS _key", "id AS _id", "depth AS _depth", "path AS _path")
     for _ in range(STEPS):
-        f = fattest(F.col("_a"), F.col("_b"))
-        going = F.col("exit").isNull() & (F.col("_a") < F.col("_b"))
-        probe = at.withColumns({"_f": f, "_going": going}).withColumn("_probe", F.when(F.col("_going"), F.element_at("path", F.greatest(F.col("_f"), F.lit(1)))).otherwise(alone))
-        met = probe.join(found, F.col("_probe") == F.col("_handle"), "left")
-        hit = F.col("_id").isNotNull()
-        whole = hit & (F.col("_depth") <= size) & (F.element_at("path", F.least(F.greatest(F.col("_depth"), F.lit(1)), size)) == F.col("_id"))
-        out = hit & ~whole
-        at = met.select(
-            *strings.columns,
-            F.when(whole, F.col("_depth")).otherwise(F.col("_a")).alias("_a"),
-            F.when(F.col("_going") & ~hit, F.col("_f") - 1).otherwise(F.col("_b")).alias("_b"),
-            F.when(out, F.col("_id")).otherwise(F.col("exit")).alias("exit"),
-            F.when(out, F.col("_depth")).otherwise(F.col("exit_depth")).alias("exit_depth"),
-            F.when(out, F.col("_path")).otherwise(F.col("_other")).alias("_other"),
-        ).select(*carried)
-    below = F.col("exit").isNull() & (F.col("_a") < size)
-    probe = at.withColumn("_probe", F.when(below, F.element_at("path", F.least(F.col("_a") + 1, size))).otherwise(alone))
-    child = nodes.select(F.col("name").alias("_name"), F.col("id").alias("_id"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-    met = probe.join(child, F.col("_probe") == F.col("_name"), "left")
-    other = F.coalesce("_other", "_path")
-    return met.select(
-        *strings.columns,
-        F.when(other.isNull(), F.col("_a")).otherwise(_common(F.col("path"), other)).alias("lcp"),
-        F.coalesce("exit", "_id").alias("exit"),
-        F.coalesce("exit_depth", "_depth").alias("exit_depth"),
-    )
+        f = fattest("_a", "_b")
+        probe = at.selectExpr("*", f"IF(exit IS NULL AND _a < _b, {f}, NULL) AS _f").selectExpr("*", "coalesce(element_at(path, _f), concat('-', end)) AS _key")
+        at = probe.join(by_handle, "_key", "left").selectExpr(
+            *own,
+            f"IF({_WHOLE}, _depth, _a) AS _a",
+            "IF(_f IS NOT NULL AND _id IS NULL, _f - 1, _b) AS _b",
+            f"IF(NOT {_WHOLE}, _id, exit) AS exit",
+            f"IF(NOT {_WHOLE}, _depth, exit_depth) AS exit_depth",
+            f"IF(NOT {_WHOLE}, _path, _other) AS _other",
+        )
+    by_name = nodes.selectExpr("name AS _key", "id AS _id", "depth AS _depth", "path AS _path")
+    probe = at.selectExpr("*", "IF(exit IS NULL AND _a < size(path), element_at(path, _a + 1), concat('-', end)) AS _key")
+    met = probe.join(by_name, "_key", "left").selectExpr(*own, "_a", "coalesce(exit, _id) AS exit", "coalesce(exit_depth, _depth) AS exit_depth", "coalesce(_other, _path) AS _other")
+    same = "size(filter(zip_with(path, _other, (x, y) -> x <=> y), x -> x))"
+    return met.selectExpr(*own, f"IF(_other IS NULL, _a, {same}) AS lcp", "exit", "exit_depth")
+
+
+#: SQL: the node that was found lies wholly on the string's path. NULL if none was found.
+_WHOLE = "(_depth <= size(path) AND element_at(path, least(_depth, size(path))) = _id)"
 
 
 class PrefixTrie:
@@ -217,13 +198,13 @@ class PrefixTrie:
             size = F.size("path")
             best = F.max(F.struct(size.alias("size"), "end", "root", "slab", "path", "words", "lcp")).alias("s")
             leaves = at.where(F.col("lcp") < size).groupBy(F.element_at("path", F.least(F.col("lcp") + 1, size)).alias("next")).agg(best).select("s.*")
-            leaves = written(leaves.select(*_node(F.col("root"), F.col("slab"), F.col("lcp"), F.col("size"), F.col("path"), F.col("words"))), "leaves")
+            leaves = written(leaves.selectExpr(*_node("lcp", "size")), "leaves")
             splits = at.where(F.col("lcp") < F.col("exit_depth")).groupBy("exit").agg(F.sort_array(F.collect_set("lcp")).alias("cuts"))
-            bounds = nodes.join(splits, nodes["id"] == splits["exit"], "left").drop("exit")
-            bounds = bounds.withColumn("bounds", F.concat(F.array("low"), F.coalesce("cuts", F.array().cast("array<int>")), F.array("depth")))
-            pieces = bounds.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("bounds") - 1)))
-            low, depth = (F.element_at("bounds", F.col("i") + k) for k in (0, 1))
-            whole = pieces.select(*_node(F.col("root"), F.col("slab"), low, depth, F.col("path"), F.col("words")))
+            bounds = nodes.join(splits, nodes["id"] == splits["exit"], "left").selectExpr(
+                "root", "slab", "path", "words", "concat(array(low), coalesce(cuts, CAST(array() AS array<int>)), array(depth)) AS bounds"
+            )
+            pieces = bounds.selectExpr("*", "explode(sequence(1, size(bounds) - 1)) AS i")
+            whole = pieces.selectExpr("root", "slab", "path", "words", "element_at(bounds, i) AS a", "element_at(bounds, i + 1) AS b").selectExpr(*_node("a", "b"))
             nodes = written(whole.unionByName(leaves), "nodes")
             rest = at.where(F.col("lcp") < size).join(leaves.select(F.col("id").alias("end")), "end", "left_anti")
             waiting = rest.select("end", "root", "slab", "path", "words")

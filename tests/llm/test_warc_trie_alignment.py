@@ -217,7 +217,7 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark):
 
 def test_fattest(spark):
     cases = [(a, b) for a in range(prefix_trie.SLAB) for b in range(a + 1, prefix_trie.SLAB + 1)]
-    df = spark.createDataFrame(cases, "a int, b int").withColumn("f", prefix_trie.fattest(F.col("a"), F.col("b")))
+    df = spark.createDataFrame(cases, "a int, b int").selectExpr("a", "b", f"{prefix_trie.fattest('a', 'b')} AS f")
     assert all(r["f"] == max(range(r["a"] + 1, r["b"] + 1), key=lambda x: (x & -x, x)) for r in df.collect())
 
 
