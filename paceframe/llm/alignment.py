@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,12 @@ from paceframe.llm.batches import blobs, fields, map_batches, parts
 from paceframe.runtime import written
 
 #: Id pairs that may be sent to every task, and bytes of chunks that a worker remembers.
-HEAD, REMEMBERED = 1 << 18, 96 << 20
+HEAD, REMEMBERED = 1 << 18, 144 << 20
 #: Pairs that a task counts at once.
 COUNTED = 1 << 21
-#: Bits of the second id in a pair's number.
+#: Bits of the second id in a pair's number; what stands before an id in the written groups.
 LOW = 32
+MARKS = np.array([",", ";", "|"], object)
 
 #: A chunk's numbers of first, second and shared ends, its groups as text and its linked pairs; None if its bytes differ.
 Entry = tuple[int, int, int, str, bytes] | None
@@ -81,11 +82,10 @@ class Aligner:
         """Ids and byte ends of both sides of one encoded text; None if the bytes of either differ from the text's."""
         raw = text.encode()
         a = found.ids
-        rows = [(p.id, p.begin, p.end) for p in pieces]
-        b = [r[0] for r in rows]
+        b = [p.id for p in pieces]
         if b"".join(map(self.first_bytes.__getitem__, a)) != raw or b"".join(map(self.second_bytes.__getitem__, b)) != raw:
             return None
-        offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+        offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         if not text.isascii():
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             place = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))))
@@ -94,8 +94,8 @@ class Aligner:
         whole = np.append(offsets[:-1, 1] == offsets[1:, 0], True)
         first = byte_ends(offsets[:, 1], whole, self.first_sizes[a])
         ids = np.array(b)
-        spans = np.array(rows, np.int64)[:, 1:]
-        second = byte_ends(spans[:, 1] + 1, ~self.fallback[ids], self.second_sizes[ids])
+        spans = np.fromiter((p.end for p in pieces), np.int64, len(b))
+        second = byte_ends(spans + 1, ~self.fallback[ids], self.second_sizes[ids])
         return a, b, first, second
 
     def entries(self, text: str, found, pieces, ends: list[int]) -> list[Entry] | None:
@@ -108,14 +108,21 @@ class Aligner:
         last = np.searchsorted(shared, ends)
         if (last >= len(shared)).any() or (shared[last] != ends).any():
             return None
-        linked = np.array(a, np.int64)[at] << LOW | np.array(b, np.int64)[bt]
-        sa, sb = list(map(str, a)), list(map(str, b))
-        at, bt = [0, *(at + 1).tolist()], [0, *(bt + 1).tolist()]
-        groups = [f"{','.join(sa[i:j])}|{','.join(sb[k:m])}" for (i, j), (k, m) in zip(pairwise(at), pairwise(bt), strict=True)]
-        out, start = [], 0
-        for end in (last + 1).tolist():
-            out.append((at[end] - at[start], bt[end] - bt[start], end - start, ";".join(groups[start:end]), linked[start:end].tobytes()))
-            start = end
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        linked = (a[at] << LOW | b[bt]).tobytes()
+        at, bt = np.append(0, at + 1), np.append(0, bt + 1)  # a group's tokens on either side
+        group_a, group_b = np.searchsorted(shared, first), np.searchsorted(shared, second)
+        place_a, place_b = np.arange(len(a)) + bt[group_a], np.arange(len(b)) + at[group_b + 1]
+        order, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), 0)
+        order[place_a], order[place_b] = a, b
+        marks[place_a[at[:-1]]], marks[place_b[bt[:-1]]] = 1, 2
+        written_out = [""] * (2 * len(order))
+        written_out[0::2], written_out[1::2] = MARKS[marks].tolist(), map(str, order.tolist())
+        out = []
+        for start, end in pairwise([0, *(last + 1).tolist()]):
+            n_a, n_b = int(at[end] - at[start]), int(bt[end] - bt[start])
+            begin = 2 * int(at[start] + bt[start])
+            out.append((n_a, n_b, end - start, "".join(written_out[begin + 1 : begin + 2 * (n_a + n_b)]), linked[8 * start : 8 * end]))
         return out
 
     def _encoded(self, texts: list[str]) -> Iterator[tuple]:
