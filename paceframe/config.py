@@ -33,7 +33,10 @@ class DriftConfig:
 
 @dataclass(frozen=True)
 class DetectorConfig:
-    """Stillness alarm: moved at most 10 m for 30 index units with a heart rate above 180."""
+    """Stillness alarm: moved at most 10 m for 30 index units with a heart rate above 180.
+
+    ``buckets`` is the number of groups that live sessions are dealt into, some for every core of the cluster.
+    """
 
     move_m: float = 10.0
     still_index: int = 30
@@ -41,6 +44,7 @@ class DetectorConfig:
     seconds_per_index: float = 1.0
     sample_period_s: float = 5.0
     idle_timeout: str = "2 hours"
+    buckets: int = 128
     hot: HotGroups = field(default_factory=HotGroups)
 
 

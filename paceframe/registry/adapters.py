@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceframe.runtime import scratch_path
 from paceframe.sources.files import spread_small_scan
 
 TABLES = {
@@ -266,6 +267,18 @@ def event_json(events: DataFrame) -> DataFrame:
     return events.select(text.alias("value"))
 
 
+def shuffled_records(spark: SparkSession, sf: str, days: int = 5) -> DataFrame:
+    """The heart-rate records as a stream that brings them out of order, up to ``days`` and six hours late, each twice or once."""
+    path = scratch_path(spark, "records")
+    events = table(spark, sf, "events")
+    sent = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600))
+    again = F.when(F.col("event_id") % 17 == 0, F.array(F.lit(0), F.lit(3600))).otherwise(F.array(F.lit(0)))
+    sliced = events.withColumn("later", F.explode(again)).withColumn("slice", F.floor((sent + F.col("later")) / (days * 86400)))
+    for at in [r["slice"] for r in sliced.select("slice").distinct().orderBy("slice").collect()]:  # a few: the table covers a month
+        event_json(sliced.where(F.col("slice") == at)).write.mode("append").text(path)
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+
+
 def metric_json(events: DataFrame) -> DataFrame:
     """Power and speed records as JSON text."""
     key = F.col("event_id")

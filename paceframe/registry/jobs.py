@@ -138,7 +138,7 @@ def _(spark, sf):
         SELECT athlete_id, session_id, CASE WHEN heart_rate < 120 THEN 'z1_recovery' WHEN heart_rate < 140 THEN 'z2_aerobic'
                WHEN heart_rate < 160 THEN 'z3_tempo' WHEN heart_rate < 175 THEN 'z4_threshold' ELSE 'z5_vo2max' END AS zone,
                count(*) AS samples, count(*) * 5.0::DOUBLE AS seconds
-        FROM running_samples WHERE heart_rate IS NOT NULL GROUP BY 1, 2, 3) z
+        FROM clean_samples GROUP BY 1, 2, 3) z
     JOIN (SELECT athlete_id, session_id, count(*) AS total_samples, round(avg(speed), 6) AS mean_speed, round(max(speed), 6) AS max_speed,
                  round(avg(heart_rate), 6) AS mean_heart_rate, max(heart_rate) AS max_heart_rate, round(max(drift_pct), 6) AS max_drift_pct
           FROM drift GROUP BY 1, 2) s ON s.athlete_id = z.athlete_id AND s.session_id = z.session_id

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paceframe.config import DetectorConfig
 from paceframe.operators.timeseries import SESSION
 from paceframe.registry import CATALOGUE as C
 from paceframe.registry import adapters as A
@@ -122,6 +123,37 @@ def _(spark, sf):
     return found.withColumns({c: F.round(c, n) for c, n in rounded.items()})
 
 
+BEHIND, IDLE = "6 DAYS", "12 HOURS"
+
+
+@C.add("L8_summaries_in_any_order", with_views(f"""
+    SELECT athlete_id, session_id, round(avg(speed), 6) AS velocita_media, round(max(speed), 6) AS velocita_max,
+           round(avg(bpm), 6) AS frequenza_cardiaca_media, max(bpm) AS frequenza_cardiaca_max, round(coalesce(sum(step), 0), 4) AS distanza_totale,
+           count_if(NOT is_end) AS campioni, CASE WHEN bool_or(is_end) THEN 'session_end' ELSE 'timeout' END AS end_reason
+    FROM (SELECT athlete_id, session_id, part, is_end, ts, step, step / nullif(gap, 0) AS speed, CASE WHEN NOT is_end THEN bpm END AS bpm FROM (
+        SELECT *, CASE WHEN NOT is_end THEN {sql_haversine("lag(lat) OVER s", "lag(lon) OVER s", "lat", "lon")} END AS step,
+               sample_index - lag(sample_index) OVER s AS gap
+        FROM (SELECT *, sum(begins) OVER (PARTITION BY athlete_id, session_id ORDER BY ts, sample_index) AS part FROM (
+            SELECT *, CASE WHEN lag(is_end) OVER w OR ts - lag(ts) OVER w >= INTERVAL {IDLE} THEN 1 ELSE 0 END AS begins
+            FROM hr_records WHERE is_end OR (NOT malformed AND bpm IS NOT NULL) WINDOW w AS (PARTITION BY athlete_id, session_id ORDER BY ts, sample_index)))
+        WINDOW s AS (PARTITION BY athlete_id, session_id, part ORDER BY sample_index)))
+    GROUP BY athlete_id, session_id, part
+    HAVING max(ts) FILTER (is_end) < (SELECT max(ts) - INTERVAL {BEHIND} FROM hr_records WHERE is_end OR (NOT malformed AND bpm IS NOT NULL))
+        OR max(ts) FILTER (NOT is_end) + INTERVAL {IDLE} <= (SELECT max(ts) - INTERVAL {BEHIND} FROM hr_records WHERE is_end OR (NOT malformed AND bpm IS NOT NULL))
+    """, "hr_records"))
+def _(spark, sf):
+    alerts, summaries = scratch_path(spark, "alerts"), scratch_path(spark, "summaries")
+    cfg = DetectorConfig(idle_timeout=IDLE)
+    jobs.detector_job(A.shuffled_records(spark, sf), alerts, summaries, cfg, late_by=BEHIND, in_order=True).awaitTermination()
+    schema = (
+        "athlete_id string, session_id bigint, velocita_media double, velocita_max double, frequenza_cardiaca_media double, "
+        "frequenza_cardiaca_max double, distanza_totale double, campioni bigint, end_reason string"
+    )
+    found = sinks.read_sink(spark, summaries, schema)
+    rounded = {"velocita_media": 6, "velocita_max": 6, "frequenza_cardiaca_media": 6, "distanza_totale": 4}
+    return found.withColumns({c: F.round(c, n) for c, n in rounded.items()})
+
+
 @C.add("I6_dead_letters", with_views("""
     SELECT count(*) AS n, CASE WHEN malformed THEN 'malformed' ELSE 'heart_rate_missing' END AS reason
     FROM hr_records WHERE malformed OR (NOT is_end AND bpm IS NULL) GROUP BY 2""", "hr_records"))

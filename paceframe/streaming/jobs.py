@@ -16,16 +16,16 @@ from paceframe.streaming.metrics import windowed_metrics
 def detector_job(
     records: DataFrame, alerts: str, summaries: str, cfg: DetectorConfig = DetectorConfig(),
     checkpoint: str | None = None, interval: str | None = None, late_by: str = "10 minutes",
-    state_partitions: int | None = None,
+    state_partitions: int | None = None, in_order: bool = False,
 ) -> StreamingQuery:
-    """Broker records -> canonical events -> alarms and session summaries.
+    """Broker records -> canonical events -> alarms and session summaries, at once or ``in_order`` of event time.
 
     All jobs run until stopped when given an ``interval``, else to the end of what is there;
     ``state_partitions`` is fixed in the checkpoint by the first start.
     """
     events, _ = heart_rate_events(records)
     writer = sinks.detector_sink(alerts, summaries)
-    return sinks.start(detect(events, cfg, late_by), writer, "detector", checkpoint, interval, state_partitions)
+    return sinks.start(detect(events, cfg, late_by, in_order), writer, "detector", checkpoint, interval, state_partitions)
 
 
 def dead_letter_job(records: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
@@ -157,6 +158,41 @@ def test_stream_equals_batch(spark, topic, tmp_path):
     assert rows(summaries.select(*columns)) == rows(session_summary(batch).select(*columns))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_within_the_lateness_bound_equals_batch(spark, topic, tmp_path, seed):
+    rng = random.Random(seed)
+    events = [sample(i, lat=42.9 + (i // (30 + int(a) * 3)) * STEP, athlete=a, bpm=170.0 + (i * int(a)) % 20) for a in ("1", "2", "3") for i in range(150)]
+    events += [end(150, athlete=a) for a in ("1", "2")]  # the third closes by its idle time
+    sent = sorted([*events, *rng.sample(events, 60)], key=lambda e: e["sample_index"] + rng.uniform(0, 100))
+    for start in range(0, len(sent), 90):
+        topic.send(*sent[start : start + 90])
+    batch, _ = heart_rate_events(spark.read.text(str(topic.path)))
+    batch = batch.withColumn("timestamp", F.col("event_time"))
+    columns = ["athlete_id", *[F.round(c, 6).alias(c) for c in ("velocita_media", "velocita_max", "frequenza_cardiaca_media", "distanza_totale")], "campioni"]
+    whole = rows(session_summary(batch).select(*columns))
+    alarms = rows(stillness_alerts(batch), "athlete_id", "sample_index", "message")
+    topic.send(sample(0, athlete="9", seconds=50_000))
+    alerts, summaries = str(tmp_path / "a"), str(tmp_path / "s")
+    jobs.detector_job(topic.records(spark), alerts, summaries, DetectorConfig(buckets=2), str(tmp_path / "c"), late_by="2 minutes", in_order=True).awaitTermination()
+    assert rows(sinks.read_sink(spark, summaries, SUMMARY).select(*columns)) == whole
+    assert rows(sinks.read_sink(spark, summaries, SUMMARY), "athlete_id", "end_reason") == [("1", "session_end"), ("2", "session_end"), ("3", "timeout")]
+    assert rows(sinks.read_sink(spark, alerts, ALERT), "athlete_id", "sample_index", "message") == alarms
+
+
+def test_gaps_close_sessions_in_order_whatever_the_batches(spark, topic, tmp_path):
+    first, second = [sample(i, seconds=i) for i in range(5)], [sample(i, seconds=9000 + i) for i in range(5, 8)]
+    topic.send(*second, *first)
+    topic.send(sample(0, athlete="9", seconds=40_000))
+    _, together = detect_in_order(spark, topic, tmp_path, "one")
+    assert rows(together, "campioni", "end_reason") == [(3, "timeout"), (5, "timeout")]
+
+
+def detect_in_order(spark, topic, tmp_path, name):
+    alerts, summaries = str(tmp_path / name / "a"), str(tmp_path / name / "s")
+    jobs.detector_job(topic.records(spark), alerts, summaries, DetectorConfig(), str(tmp_path / name / "c"), late_by="3 hours", in_order=True).awaitTermination()
+    return sinks.read_sink(spark, alerts, ALERT), sinks.read_sink(spark, summaries, SUMMARY)
+
+
 def metric(i, seconds, athlete=1):
     return {"athlete_id": athlete, "workout_id": i, "timestamp": at(seconds), "power": 100 + i, "heart_rate": 140, "speed": 10, "distance": i}
 
