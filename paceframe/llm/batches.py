@@ -24,6 +24,21 @@ def fields(df: DataFrame, **columns: str) -> list[T.StructField]:
     return [T.StructField(name, df.schema[old].dataType) for name, old in columns.items()]
 
 
+def folded(df: DataFrame, *apart: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but those ``apart`` in one struct, ``_folded``, and the way back to the columns of ``df``.
+
+    Between the two no other name of ``df`` can clash with a column that an operator adds.
+    """
+    rest = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in apart}
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    fold = F.struct(F.lit(0).alias("none"), *[quoted[c].alias(n) for c, n in rest.items()]).alias("_folded")
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col("_folded")[rest[c]].alias(c) if c in rest else quoted[c] for c in df.columns])
+
+    return df.select(*[quoted[c] for c in apart], fold), back
+
+
 def map_batches(df: DataFrame, work: Callable, schema: list[T.StructField] | str) -> DataFrame:
     """``mapInArrow`` with a list of fields or a DDL string as the schema."""
     return df.mapInArrow(work, T.StructType(schema) if isinstance(schema, list) else schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceframe.llm.batches import Tokenizer, Tokens, fields, map_batches, mixed, parts
+from paceframe.llm.batches import Tokenizer, Tokens, fields, map_batches, mixed, parts, folded
 
 #: Token places that a seed reads. One of the two fits without a mismatch into every overlap of 13 tokens or
 #: more of which four fifths agree (checked by enumeration for 13 to 25 tokens, which longer overlaps contain).
@@ -195,6 +195,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that :func:`leaks` does not report, with all their columns."""
+    """The rows of ``df`` that :func:`leaks` does not report, with all their columns, whatever their names. Texts are read whole,
+    whatever their length; an empty table stays empty, and an empty benchmark keeps all rows."""
     found = leaks(df, benchmark, key, text, **options).select("_row").distinct()
-    return df.withColumn("_row", F.xxhash64(key, text)).join(found, "_row", "left_anti").select(*df.columns)
+    narrow, back = folded(df, key, text)
+    return back(narrow.withColumn("_row", F.xxhash64(key, text)).join(found, "_row", "left_anti"))

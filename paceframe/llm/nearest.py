@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from paceframe.llm.batches import map_batches
 from paceframe.runtime import written
 
-#: Vectors in a block of queries and of candidates; candidate blocks that meet a query block in one group.
-QUERIES, CANDIDATES, GROUP = 512, 2048, 16
+#: Vectors of WIDTH components in a block of queries and of candidates, fewer if they are wider; candidate blocks and query blocks that meet in
+#: one group.
+QUERIES, CANDIDATES, WIDTH, GROUP, ASKED = 512, 2048, 64, 16, 8
+#: Components whose products of codes add up to less than 2^24, so that single precision holds the sum exactly.
+EXACT = 1024
 #: Slack on the error bounds for the rounding of the bounds themselves.
 SLACK = 1e-9
 
@@ -33,18 +36,36 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return codes.astype(np.float32), scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x - coded, axis=1)
 
 
-def _blocks(rows: DataFrame, size: int, counts: DataFrame) -> DataFrame:
-    """Rows (id, vec) dealt by hash into blocks of about ``size`` per dimension: width, block, rows. ``counts`` has a row per
-    dimension."""
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of codes, however wide."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT] @ b[:, at : at + EXACT].T
+    return out
+
+
+def _size(most: int) -> Column:
+    """Vectors of a block, by their width."""
+    return F.greatest(F.lit(16), F.least(F.lit(most), F.floor(F.lit(most * WIDTH) / F.col("width")))).cast("int")
+
+
+def _blocks(rows: DataFrame, most: int, counts: DataFrame) -> DataFrame:
+    """Rows (id, vec) dealt by hash into blocks of about as many bytes: width, block, rows. ``counts`` has a row per dimension."""
     sized = rows.withColumn("width", F.size("vec")).join(F.broadcast(counts), "width")
-    block = F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / size)).cast("int")
+    block = F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / _size(most))).cast("int")
     return sized.groupBy("width", block.alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
 
 
-def _unpacked(column: pa.ListArray, at: int, width: int) -> tuple[pa.Array, np.ndarray]:
+def _numbers(counts: DataFrame, most: int, together: int, name: str) -> DataFrame:
+    """(width, name): the groups of ``together`` blocks of each dimension."""
+    last = F.ceil(F.ceil(F.col("n") / _size(most)) / together).cast("int") - 1
+    return counts.select("width", F.explode(F.sequence(F.lit(0), last)).alias(name))
+
+
+def _unpacked(column: pa.ListArray, at: int, width: int) -> tuple[list[list[int]], np.ndarray]:
     """Ids and vectors of one block."""
     rows = column.slice(at, 1).flatten()
-    return rows.field("id"), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return rows.field("id").to_pylist(), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 class Tops:
@@ -60,7 +81,7 @@ class Tops:
     def meet(self, ids: list[list[int]], vectors: np.ndarray, ready: tuple) -> None:
         """Compare with a block of different vectors; ``ids`` has the smallest ids of each."""
         codes, scale, coded, missed = ready
-        rough = (self.codes @ codes.T).astype(np.float64) * self.scale[:, None] * scale[None, :]
+        rough = products(self.codes, codes) * self.scale[:, None] * scale[None, :]
         error = self.missed[:, None] * coded[None, :] + self.norm[:, None] * missed[None, :]
         error += SLACK * (np.abs(rough) + error)
         # The k-th best lower bound over k + 1 vectors is no more than the k-th best score, the query's own left out.
@@ -98,25 +119,21 @@ class Tops:
 
 def _search(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, at = None, None
-        ready: dict[tuple[int, int], tuple] = {}
+        """Per group, in order: its candidate blocks, then its query blocks."""
+        at, ready = None, []
         for batch in batches:
-            queries, candidates = batch.column("rows"), batch.column("others")
-            places = zip(*(batch.column(n).to_pylist() for n in ("width", "group", "block", "other")), strict=True)
-            for row, (width, group, block, other) in enumerate(places):
-                if (width, group, block) != at:
-                    if tops is not None:
-                        yield tops.rows()
-                    ids, vectors = _unpacked(queries, row, width)
-                    at, tops = (width, group, block), Tops(ids.to_numpy(), vectors, k)
-                if (width, other) not in ready:
-                    if len(ready) >= GROUP:
-                        ready.clear()
-                    ids, vectors = _unpacked(candidates, row, width)
-                    ready[width, other] = ids.to_pylist(), vectors, quantised(vectors)
-                tops.meet(*ready[width, other])
-        if tops is not None:
-            yield tops.rows()
+            blocks = batch.column("rows")
+            for row, (width, group, asked, kind) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("width", "group", "asked", "kind")), strict=True)):
+                if (width, group, asked) != at:
+                    at, ready = (width, group, asked), []
+                ids, vectors = _unpacked(blocks, row, width)
+                if kind == 0:
+                    ready.append((ids, vectors, quantised(vectors)))
+                elif ready:
+                    tops = Tops(np.array([i[0] for i in ids]), vectors, k)
+                    for candidates in ready:
+                        tops.meet(*candidates)
+                    yield tops.rows()
 
     return work
 
@@ -126,7 +143,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the smaller id.
 
     Equal vectors are first made one candidate that carries its ``k + 1`` smallest ids, as no others can be among the
-    results; ids are taken to name one vector each. Blocks of queries meet all groups of candidate blocks of the same dimension: int8 products give each
+    results; ids are taken to name one vector each. A task holds ``GROUP`` candidate blocks, which ``ASKED`` query blocks of the same
+    dimension meet one after the other; blocks are copied once per group, not per pair. Exact int8 products give each
     inner product with an error bound; pairs whose upper bound reaches the k-th best lower bound so far are computed in
     double precision. Each group hands on ``k`` rows per query, and ranks cut them to ``k`` before and after the shuffle.
 
@@ -141,11 +159,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     asked = valid(vectors.where(queries), key, vector).distinct()
     counts = candidates.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"))
     query_counts = asked.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"))
-    group = F.floor(F.col("other") / GROUP).cast("int").alias("group")
-    right = _blocks(candidates, CANDIDATES, counts).select("width", F.col("block").alias("other"), F.col("rows").alias("others")).select("*", group)
-    groups = counts.select("width", F.explode(F.sequence(F.lit(0), F.ceil(F.ceil(F.col("n") / CANDIDATES) / GROUP).cast("int") - 1)).alias("group"))
-    left = _blocks(asked, QUERIES, query_counts).join(groups, "width")
-    pairs = left.join(right, ["width", "group"]).sortWithinPartitions("width", "group", "block", "other").select("width", "group", "block", "rows", "other", "others")
+    group, some = F.floor(F.col("block") / GROUP).cast("int").alias("group"), F.floor(F.col("block") / ASKED).cast("int").alias("asked")
+    right = _blocks(candidates, CANDIDATES, counts).select("width", group, F.lit(0).alias("kind"), "block", "rows")
+    right = right.join(F.broadcast(_numbers(query_counts, QUERIES, ASKED, "asked")), "width")
+    left = _blocks(asked.withColumn("id", F.array("id")), QUERIES, query_counts).select("width", some, F.lit(1).alias("kind"), "block", "rows")
+    left = left.join(F.broadcast(_numbers(counts, CANDIDATES, GROUP, "group")), "width")
+    order = ["width", "group", "asked", "kind"]
+    pairs = right.select(*order, "block", "rows").unionByName(left.select(*order, "block", "rows"))
+    pairs = pairs.repartition("width", "group", "asked").sortWithinPartitions(*order, "block").select(*order, "rows")
     found = map_batches(pairs, _search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

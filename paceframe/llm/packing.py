@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from paceframe.llm.batches import blobs, fields, map_batches, parts
 
-#: Chunks of text that a worker remembers the ids of, at most.
-REMEMBERED = 400_000
+#: Chunks of text that a worker remembers the ids of, at most, and their longest; ids that examples waiting in a task may have.
+REMEMBERED, LONGEST, WAITING = 400_000, 64, 1 << 23
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,10 @@ class WordIds:
     words end in a token of their own kind, such as ``word_bpe_49k.json``. A-Z are lower-cased and a mark between one of
     a-z and the end of its chunk is made a chunk of its own before the look-up, which changes no ids and leaves fewer
     different chunks. Chunks of lower-case Latin letters go, many at a time, to the file's model without its slower normaliser.
-    A special token's name in a text, such as ``<|endoftext|>``, is text and encoded as plain characters, unlike the
-    tokenizer's default.
-    The first ``REMEMBERED`` chunks are kept, which soon has all the common ones; the rest are looked up again when they
-    come again.
+    A text that holds a special token's name, such as ``<|endoftext|>``, is encoded whole by the tokenizer, which gives the name
+    its own id.
+    The first ``REMEMBERED`` chunks of at most ``LONGEST`` characters are kept, which soon has all the common ones; the rest are looked
+    up again when they come again.
     """
 
     def __init__(self, file: str) -> None:
@@ -54,7 +54,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         with open(file, encoding="utf-8") as source:
             plain = json.load(source)
@@ -67,6 +67,8 @@ class WordIds:
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, as_bytes]}
         self.model = Tokenizer.from_str(json.dumps(plain))
         self.model.encode_special_tokens = True
+        special = [token["content"].lower().encode() for token in plain.get("added_tokens", [])]
+        self.special = re.compile(b"|".join(map(re.escape, special))).search if special else lambda text: None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -96,20 +98,27 @@ class WordIds:
                 own[chunk] = np.array(found.ids, "<u4").tobytes()
         room = REMEMBERED - len(self.known)
         if room > 0:
-            self.known.update(islice(own.items(), room))
+            self.known.update(islice(((c, ids) for c, ids in own.items() if len(c) <= LONGEST), room))
         return own
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         known = self.known.get
-        apart = [self.marks(rb" \1", x.lower()) for x in texts]
+        lower = [x.lower() for x in texts]
+        named = [i for i, x in enumerate(lower) if self.special(x)]
+        for i in named:
+            lower[i] = b""
+        apart = [self.marks(rb" \1", x) for x in lower]
         chunks = [x.decode("utf-8", "replace").replace("\n", " ").split(" ") for x in apart]
         found = [list(map(known, x)) for x in chunks]
         unknown = {c for x, ids in zip(chunks, found, strict=True) if None in ids for c, one in zip(x, ids, strict=True) if one is None}
         if unknown:
             own = self._learn(unknown)
             found = [[own[c] if one is None else one for c, one in zip(x, ids, strict=True)] if None in ids else ids for x, ids in zip(chunks, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+        out = [b"".join(ids) for ids in found]
+        for i in named:
+            out[i] = np.array(self.plain.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @dataclass
@@ -139,6 +148,7 @@ class Packer:
         self.pieces: list[Piece] = []
         self.demands = np.zeros((0, 3), np.int64)
         self.done: list[tuple[int, int, int, int, int]] = []
+        self.waiting = 0
 
     def add(self, example: int, tokens: int, loss: int) -> None:
         """Take one more example of ``tokens`` ids, the last ``loss`` of which bear loss."""
@@ -147,8 +157,10 @@ class Packer:
         if not self.cut and (tokens > self.limits.tokens or loss > self.limits.loss_tokens):
             raise ValueError("an example is over the limits and may not be cut")
         self.pieces.append(Piece(example, 0, tokens, loss))
-        if len(self.pieces) >= 2 * self.limits.window:
-            self._pack(self.limits.window)
+        self.waiting += tokens
+        if len(self.pieces) >= 2 * self.limits.window or self.waiting > WAITING:
+            self._pack(min(self.limits.window, len(self.pieces) // 2))
+            self.waiting = sum(p.tokens for p in self.pieces)
 
     def _pack(self, leave: int) -> None:
         """Place waiting examples until ``leave`` wait."""

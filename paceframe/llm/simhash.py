@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceframe.llm.batches import blobs, fields, map_batches, parts
+from paceframe.llm.batches import blobs, fields, folded, map_batches, parts
 from paceframe.llm.components import components, forest
 from paceframe.runtime import written
 
@@ -153,15 +153,17 @@ def first_of_groups(df: DataFrame, found: DataFrame, key: str, text: str) -> Dat
     """The rows of ``df`` whose key is the smallest (NULL last) of their ``root`` in ``found``; of rows that repeat key and text one."""
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row"))
     chosen = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")["row"].alias("_row"))
-    stay = df.withColumn("_row", F.xxhash64(key, text)).join(chosen, "_row", "left_semi")
+    narrow, back = folded(df, key, text)
+    stay = narrow.withColumn("_row", F.xxhash64(key, text)).join(chosen, "_row", "left_semi")
     repeated = found.groupBy("_row").count().where("count > 1").select("_row")
     once = stay.join(repeated, "_row", "left_anti")
-    return once.unionByName(stay.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(*df.columns)
+    return back(once.unionByName(stay.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each group the row of the smallest key (NULL last) stays.
 
-    All columns are kept. Of rows that repeat key and text one stays. Starts jobs.
+    All columns are kept, whatever their names. Of rows that repeat key and text one stays. Texts are read whole, whatever their
+    length; an empty table stays empty. Starts jobs.
     """
     return first_of_groups(df, near_duplicates(df, key, text, words, radius), key, text)

@@ -195,7 +195,6 @@ def test_word_ids_are_the_tokenizers():
 
     file = public_tokenizers.path("word_bpe_49k.json")
     plain, quick = Tokenizer.from_file(file), packing.WordIds(file)
-    plain.encode_special_tokens = True
     parts = ["a", "B", "e", "É", "ß", "İ", "I", "\u0307", "\u0301", ".", ",", "!", "?", ";", ":", "'s", "'LL", " ", "\n", "\t", "\r", "\xa0", "7", "÷", "日", "<|endoftext|>", "K", "\x1c", "#"]
     rng = random.Random(3)
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
@@ -208,7 +207,6 @@ def test_packing_keeps_every_id_in_one_piece(spark):
 
     file = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(4)
     texts = [*ODD, "<|endoftext|> it's 12 ẞ İ é", *[" ".join(rng.choices([*WORDS, "Straße,", "naïve.", "don't", "3.14"], k=rng.randint(0, 900))) for _ in range(150)]]
     expected = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
