@@ -67,8 +67,7 @@ class WordIds:
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, as_bytes]}
         self.model = Tokenizer.from_str(json.dumps(plain))
         self.model.encode_special_tokens = True
-        special = [token["content"].lower().encode() for token in plain.get("added_tokens", [])]
-        self.special = re.compile(b"|".join(map(re.escape, special))).search if special else lambda text: None
+        self.special = [token["content"].lower().encode() for token in plain.get("added_tokens", [])]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -105,7 +104,7 @@ class WordIds:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         known = self.known.get
         lower = [x.lower() for x in texts]
-        named = [i for i, x in enumerate(lower) if self.special(x)]
+        named = [i for name in self.special for i, x in enumerate(lower) if name in x]
         for i in named:
             lower[i] = b""
         apart = [self.marks(rb" \1", x) for x in lower]
