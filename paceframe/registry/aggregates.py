@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paceframe.functions.dates import iso_week_id
 from paceframe.operators import correlation, rollups, sessions
 from paceframe.operators.quality import canonical_events
 from paceframe.plans import dashboard, training_status, workout_elt
+from paceframe.plans.partials import DailyPartials
 from paceframe.registry import CATALOGUE as C
 from paceframe.registry import adapters as A
 from paceframe.registry.adapters import with_views
-from paceframe.runtime import written
+from paceframe.runtime import scratch_path, written
 
 
 @C.add("D2_athlete_days", with_views("""
@@ -227,6 +229,19 @@ def _(spark, sf):
     return found.withColumns({c: A.second(F.col(c)) for c in ("started_at", "ended_at")})
 
 
+@C.add("D21_weekly_load_after_correction", with_views("SELECT * FROM weekly_cardio", "weekly_cardio"))
+def _(spark, sf):
+    loads = A.daily_loads(spark, sf)
+    table = DailyPartials(scratch_path(spark, "loads"), ["athlete_id"], "day", {"total_trimp": ("sum", "load")})
+    # as it was before a correction: one week doubled, another missing
+    week = F.to_date("day")
+    wrong = loads.where(~week.between("1995-05-01", "1995-05-07")).withColumn("load", F.when(week.between("1995-03-06", "1995-03-12"), F.col("load") * 2).otherwise(F.col("load")))
+    table.build(wrong)
+    days = spark.sql("SELECT explode(concat(sequence(DATE'1995-03-06', DATE'1995-03-12'), sequence(DATE'1995-05-01', DATE'1995-05-07'))) AS day")
+    table.refresh(loads, days)
+    return table.merged(spark, "athlete_id", iso_week_id(F.col("day")).alias("week_id"))
+
+
 @C.add("D21_weekly_load", with_views("SELECT * FROM weekly_cardio", "weekly_cardio"))
 def _(spark, sf):
     return rollups.weekly_load(A.daily_loads(spark, sf), "day", "load")

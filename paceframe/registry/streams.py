@@ -171,9 +171,22 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "archive")
     jobs.archive_job(A.event_json(A.stream(spark, sf, "events")), path).awaitTermination()
-    return sinks.read_sink(
-        spark, path, "athlete_id string, session_id bigint, sample_index bigint, event_type string, heart_rate_bpm double"
-    )
+    return sinks.read_files(spark, path, jobs.ARCHIVE).select("athlete_id", "session_id", "sample_index", "event_type", "heart_rate_bpm")
+
+
+@C.add("A10_archive_replayed_by_month", with_views("""
+    SELECT CAST(year(ts) * 100 + month(ts) AS INTEGER) AS ym, athlete_id, count(*) AS n, max(bpm) FILTER (NOT is_end) AS max_bpm
+    FROM hr_records WHERE is_end OR (NOT malformed AND bpm IS NOT NULL) GROUP BY 1, 2
+    """, "hr_records"))
+def _(spark, sf):
+    path, checkpoint = scratch_path(spark, "archive"), scratch_path(spark, "archive-checkpoint")
+    records = A.event_json(A.stream(spark, sf, "events"))
+    jobs.archive_job(records, path, checkpoint).awaitTermination()
+    sinks.forget_commits(spark, checkpoint)  # as after a crash before the commit: the batch runs again
+    jobs.archive_job(records, path, checkpoint).awaitTermination()
+    archived = sinks.read_files(spark, path, jobs.ARCHIVE)
+    bpm = F.when(F.col("event_type") == "sample", F.col("heart_rate_bpm"))
+    return archived.groupBy("ym", "athlete_id").agg(F.count(F.lit(1)).alias("n"), F.max(bpm).alias("max_bpm"))
 
 
 @C.add("I13_streaming_dedupe", with_views("""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paceframe.config import DetectorConfig
+from paceframe.functions.dates import month_number
 from paceframe.schemas import METRICS_EVENT, WORKOUT_EVENT
 from paceframe.streaming import sinks
 from paceframe.streaming.detector import detect
@@ -34,15 +36,26 @@ def dead_letter_job(records: DataFrame, path: str, checkpoint: str | None = None
     return sinks.start(dead, sinks.parquet_sink(path), "dead-letters", checkpoint, interval)
 
 
+ARCHIVE = (
+    "athlete_id string, session_id bigint, sample_index bigint, latitude double, longitude double, heart_rate_bpm double, "
+    "cadence_spm double, event_type string, event_time timestamp, ym int"
+)
+
+
 def archive_job(
-    records: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = None, state_partitions: int | None = None
+    records: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = None, state_partitions: int | None = None,
+    late_by: str = "10 minutes",
 ) -> StreamingQuery:
-    """Raw samples in bulk, from their own query and checkpoint, without redeliveries."""
+    """Raw samples in bulk, without redeliveries, by month, the layout of the recorded samples.
+
+    Runs from its own query and checkpoint; each batch lands once. Read it with :func:`sinks.read_files` and ``ARCHIVE``; a filter
+    on ``ym`` reads only those months.
+    """
     events, _ = heart_rate_events(records)
-    samples = without_redelivery(events).select(
-        "athlete_id", "session_id", "sample_index", "latitude", "longitude", "heart_rate_bpm", "cadence_spm", "event_type"
-    )
-    return sinks.start(samples, sinks.parquet_sink(path), "archive", checkpoint, interval, state_partitions)
+    kinds = dict(part.split() for part in ARCHIVE.split(", "))
+    by_month = without_redelivery(events, late_by).withColumn("ym", month_number(F.col("event_time")))
+    samples = by_month.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+    return sinks.start_files(samples, path, ["ym"], "archive", checkpoint, interval, state_partitions)
 
 
 def metrics_job(

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from paceframe.operators.dedupe import latest_per_key
 from paceframe.runtime import scratch_path, settings
@@ -124,9 +124,24 @@ def start(df: DataFrame, writer: BatchWriter, name: str, checkpoint: str | None
     Without an interval it processes what is available, in as many batches as the source's
     caps demand, and stops.
     """
-    spark = df.sparkSession
-    where = checkpoint or scratch_path(spark, f"checkpoint-{name}")
-    stream = df.writeStream.foreachBatch(writer).option("checkpointLocation", where)
+    return _started(df.writeStream.foreachBatch(writer), df.sparkSession, name, checkpoint, interval, state_partitions)
+
+
+def start_files(df: DataFrame, path: str, by: list[str], name: str, checkpoint: str | None = None,
+                interval: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """Append to a Parquet table partitioned by the columns ``by``, each batch once.
+
+    Tasks hand the names of their files to the driver, which adds a batch to the table's log when all are written;
+    readers go by the log. A batch that is repeated after a crash finds itself in the log and adds nothing, and files of
+    lost tasks are never read.
+    """
+    stream = df.writeStream.format("parquet").outputMode("append").partitionBy(*by).option("path", path)
+    return _started(stream, df.sparkSession, name, checkpoint, interval, state_partitions)
+
+
+def _started(stream: DataStreamWriter, spark: SparkSession, name: str, checkpoint: str | None, interval: str | None,
+             state_partitions: int | None) -> StreamingQuery:
+    stream = stream.option("checkpointLocation", checkpoint or scratch_path(spark, f"checkpoint-{name}"))
     stream = stream.trigger(processingTime=interval) if interval else stream.trigger(availableNow=True)
     with settings(spark, state_settings(spark, state_partitions)):  # the query keeps its own copy
         return stream.start()
@@ -144,3 +159,16 @@ def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_files(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The committed batches of :func:`start_files`, partition columns included; empty before the first one."""
+    if not _exists(spark, f"{path}/_spark_metadata"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_commits(spark: SparkSession, checkpoint: str) -> None:
+    """Make a stopped query run its last batch again when it next starts, as a crash between a batch's output and its commit does."""
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    commits.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commits, True)

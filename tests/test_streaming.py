@@ -279,6 +279,24 @@ def test_dead_letters_and_archive(spark, topic, tmp_path):
     assert rows(kept) == [(1, "sample"), (3, "session_end")]
 
 
+def test_archive_batch_replayed_after_a_crash_adds_nothing_and_months_are_pruned(spark, topic, tmp_path):
+    path, checkpoint = str(tmp_path / "archive"), str(tmp_path / "c")
+    assert sinks.read_files(spark, path, jobs.ARCHIVE).count() == 0
+    topic.send(*[sample(i) for i in range(5)], {**sample(9), "timestamp": "2024-02-03T00:00:00Z"})
+    jobs.archive_job(topic.records(spark), path, checkpoint, late_by="60 days").awaitTermination()
+    sinks.forget_commits(spark, checkpoint)
+    topic.send(*[sample(i) for i in range(3, 8)])
+    jobs.archive_job(topic.records(spark), path, checkpoint, late_by="60 days").awaitTermination()
+    stray = tmp_path / "archive" / "ym=202401" / "part-of-a-lost-task.parquet"
+    stray.hardlink_to(next((tmp_path / "archive" / "ym=202401").glob("part-*.parquet")))
+    back = sinks.read_files(spark, path, jobs.ARCHIVE)
+    assert rows(back, "ym", "sample_index") == [(202401, i) for i in range(8)] + [(202402, 9)]
+    month = back.where("ym = 202402")
+    assert rows(month, "sample_index") == [(9,)]
+    plan = month._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan
+
+
 def test_state_partitions_come_from_the_checkpoint_and_settings_are_put_back(spark, topic, tmp_path):
     before = {k: spark.conf.get(k, None) for k in sinks.state_settings(spark)}
     path, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
