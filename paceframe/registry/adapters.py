@@ -279,6 +279,20 @@ def shuffled_records(spark: SparkSession, sf: str, days: int = 5) -> DataFrame:
     return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
 
 
+def live_samples(events: DataFrame) -> DataFrame:
+    """Samples with the session they claim to belong to, one session per user."""
+    return events.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("event_time"))
+
+
+def session_marks(customers: DataFrame, ended: bool) -> DataFrame:
+    """Starts of the sessions, some never begun, or the ends of every third of them."""
+    key = F.col("c_custkey")
+    day = key % 28 + (F.when(key % 4 == 0, 1).otherwise(5) if ended else F.lit(0))
+    at = F.date_add(_epoch(), day.cast("int")).cast("timestamp")
+    marks = customers.filter(key % 3 == 0) if ended else customers.filter(key % 7 != 0)
+    return marks.select(key.alias("session_id"), at.alias("at"))
+
+
 def metric_json(events: DataFrame) -> DataFrame:
     """Power and speed records as JSON text."""
     key = F.col("event_id")

@@ -12,7 +12,9 @@ from paceframe.registry.adapters import sql_haversine, with_views
 from paceframe.registry.windows import recursive, stillness_sql
 from paceframe.runtime import scratch_path
 from paceframe.schemas import METRICS_EVENT, WORKOUT_EVENT
+from paceframe.sources.marked import marked_stream
 from paceframe.streaming import jobs, sinks
+from paceframe.streaming.admission import read_decided
 from paceframe.streaming.ingest import decode, decode_strict, heart_rate_events, without_redelivery
 from paceframe.streaming.metrics import session_metrics, windowed_metrics
 
@@ -239,3 +241,40 @@ def _(spark, sf):
     )
     sinks.run_available(rows, sinks.upsert_sink(path, ["athlete_id"], "version"), "upserts")
     return sinks.read_upserted(spark, path, rows.schema, ["athlete_id"], ["version"])
+
+
+@C.add("C12_live_admission", """
+    WITH samples AS (SELECT event_id, user_id AS session_id, date_trunc('microsecond', ts) AS ts FROM events),
+    started AS (SELECT c_custkey AS session_id, DATE '2024-01-01' + CAST(c_custkey % 28 AS INTEGER) AS day FROM customer WHERE c_custkey % 7 <> 0),
+    ended AS (SELECT c_custkey AS session_id, DATE '2024-01-01' + CAST(c_custkey % 28 + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 5 END AS INTEGER) AS day
+              FROM customer WHERE c_custkey % 3 = 0),
+    passed AS (SELECT least((SELECT max(ts) FROM samples), (SELECT max(day) FROM started), (SELECT max(day) FROM ended)) - INTERVAL 1 DAY AS mark)
+    SELECT event_id, s.session_id, CASE WHEN b.day IS NULL THEN 'session_not_found' WHEN e.day IS NOT NULL THEN 'session_not_active' ELSE 'accepted' END AS decision
+    FROM samples s LEFT JOIN started b ON b.session_id = s.session_id AND b.day <= ts AND ts < b.day + INTERVAL 12 DAYS
+    LEFT JOIN ended e ON e.session_id = s.session_id AND e.day <= ts AND ts < e.day + INTERVAL 12 DAYS
+    WHERE ts < (SELECT mark FROM passed) OR b.day IS NOT NULL""")
+def _(spark, sf):
+    path = scratch_path(spark, "admission")
+    people = A.stream(spark, sf, "customer")
+    jobs.admission_job(
+        A.live_samples(A.stream(spark, sf, "events")), A.session_marks(people, False), A.session_marks(people, True), path,
+        longest="12 DAYS", late_by="1 DAY",
+    ).awaitTermination()
+    found = read_decided(spark, path, "event_id bigint, session_id bigint, event_time timestamp, decision string", ["event_id"])
+    return found.drop("event_time")
+
+
+@C.add("A6_continuous_staging", """
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
+def _(spark, sf):
+    path, checkpoint, grown = (scratch_path(spark, n) for n in ("staging", "staging-checkpoint", "growing"))
+    orders = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    wanted = "o_orderkey bigint, o_custkey bigint, o_totalprice double"
+    newest = orders.agg(F.max("o_orderkey")).scalar()
+    third = F.floor(F.least(F.lit(2), F.col("o_orderkey") * 3 / newest))
+    for part in range(3):  # the table grows between runs of the job
+        orders.filter(third == part).write.mode("append").parquet(grown)
+        jobs.staging_job(marked_stream(spark, grown, wanted, "o_orderkey"), path, checkpoint).awaitTermination()
+    sinks.forget_commits(spark, checkpoint)  # as after a crash before the commit
+    jobs.staging_job(marked_stream(spark, grown, wanted, "o_orderkey"), path, checkpoint).awaitTermination()
+    return sinks.read_files(spark, path, wanted)

@@ -10,6 +10,7 @@ from paceframe.config import DetectorConfig
 from paceframe.functions.dates import month_number
 from paceframe.schemas import METRICS_EVENT, WORKOUT_EVENT
 from paceframe.streaming import sinks
+from paceframe.streaming.admission import admit
 from paceframe.streaming.detector import detect
 from paceframe.streaming.ingest import decode_strict, heart_rate_events, without_redelivery
 from paceframe.streaming.metrics import windowed_metrics
@@ -74,3 +75,17 @@ def workouts_job(
     """Workout records -> relational store (or any batch writer)."""
     events, _ = decode_strict(records, WORKOUT_EVENT)
     return sinks.start(events, writer, "workout-events", checkpoint, interval)
+
+
+def admission_job(
+    samples: DataFrame, starts: DataFrame, ends: DataFrame, path: str, checkpoint: str | None = None, longest: str = "24 hours",
+    late_by: str = "10 minutes", interval: str | None = None, state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Samples and their sessions' starts and ends -> one table by ``decision``, for :func:`paceframe.streaming.admission.read_decided`."""
+    decided = admit(samples, starts, ends, longest, late_by)
+    return sinks.start_files(decided, path, ["decision"], "admission", checkpoint, interval, state_partitions)
+
+
+def staging_job(growing: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """A table that grows by ids (:func:`paceframe.sources.marked.marked_stream`) -> staging, each increment once."""
+    return sinks.start_files(growing, path, [], "staging", checkpoint, interval)
