@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,18 +83,16 @@ def overlap(same: np.ndarray, least: int, ratio: float) -> tuple[int, int] | Non
     at = np.flatnonzero(same)
     if len(at) < ratio * least - 1e-9:
         return None
-    best = None
     # Agreements i..j span at[j] - at[i] + 1 places: ratio holds if (j + 1) - ratio * (at[j] + 1) >= i - ratio * at[i].
     start = np.arange(len(at)) - ratio * at
     end = np.arange(1, len(at) + 1) - ratio * (at + 1)
-    lowest = np.minimum.accumulate(start)
-    for j in range(len(at) - 1, -1, -1):
-        i = int(np.searchsorted(-lowest, -(end[j] + 1e-9)))
-        if i <= j:
-            length = int(at[j] - at[i] + 1)
-            if length >= least and (best is None or length > best[1] - best[0] or (length == best[1] - best[0] and at[i] < best[0])):
-                best = (int(at[i]), int(at[j]) + 1)
-    return best
+    first = np.searchsorted(-np.minimum.accumulate(start), -(end + 1e-9))  # the leftmost start of every end
+    some = np.flatnonzero(first <= np.arange(len(at)))
+    length = at[some] - at[first[some]] + 1
+    if not len(some) or length.max() < least:
+        return None
+    begin = int(at[first[some[length == length.max()]]].min())
+    return begin, begin + int(length.max())
 
 
 def _first_places(tokens: Tokens, size: int, known: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -113,6 +110,42 @@ def _first_places(tokens: Tokens, size: int, known: np.ndarray, item: np.ndarray
             yield r, int(item[k]), p - int(tokens.bounds[r])
 
 
+class Diagonals:
+    """The different ways to line up the texts of a batch with items: (text, item, place in the text less place in the item)."""
+
+    PAIRS = 1 << 21  # hits that are expanded at a time; repeated tokens give many
+
+    def __init__(self, tokens: Tokens, items: Items) -> None:
+        self.tokens, self.items, self.keys = tokens, items, np.zeros(0, np.int64)
+        self.before = max(map(len, items.tokens), default=0)
+        self.width = self.before + len(tokens.hashes) + 1
+
+    def add(self, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> None:
+        keys = (row * len(self.items.tokens) + item) * self.width + shift + self.before
+        self.keys = np.union1d(self.keys, keys)
+
+    def add_hits(self, place: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Places of the batch's tokens whose seed is that of the items' seeds ``first`` to ``last``, exclusive."""
+        upto = np.cumsum(last - first)
+        cuts = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, self.PAIRS))
+        for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
+            if a == b:
+                continue
+            n = last[a:b] - first[a:b]
+            k = np.arange(n.sum()) + np.repeat(first[a:b] - np.cumsum(n) + n, n)
+            r = np.repeat(row[a:b], n)
+            self.add(r, self.items.item[k], np.repeat(place[a:b], n) - self.tokens.bounds[r] - self.items.place[k])
+
+    def each(self) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, item, shifts in order), in order."""
+        pair, shift = np.divmod(self.keys, self.width)
+        cuts = np.flatnonzero(np.diff(pair)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(pair)], strict=True):
+            if a < b:
+                r, i = divmod(int(pair[a]), len(self.items.tokens))
+                yield r, i, (shift[a:b] - self.before).tolist()
+
+
 def _find(shared, least: int, ratio: float, short: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
@@ -121,7 +154,7 @@ def _find(shared, least: int, ratio: float, short: bool):
         for batch in batches:
             for part in parts(batch, "_text", 1 << 20):
                 tokens = tokenizer(part.column("_text"))
-                diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
+                lines = Diagonals(tokens, items)
                 for salt, mask in enumerate(MASKS):
                     hashes = seeds(tokens.hashes, mask, salt)
                     place = np.flatnonzero(sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
@@ -130,18 +163,19 @@ def _find(shared, least: int, ratio: float, short: bool):
                     place, first, last = place[hit], first[hit], last[hit]
                     row = np.searchsorted(tokens.bounds, place, "right") - 1
                     whole = place + mask[-1] < tokens.bounds[row + 1]
-                    for p, r, a, b in zip(*(x[whole].tolist() for x in (place, row, first, last)), strict=True):
-                        for k in range(a, b):
-                            diagonals[r, int(items.item[k])].add(p - int(tokens.bounds[r]) - int(items.place[k]))
+                    lines.add_hits(*(x[whole] for x in (place, row, first, last)))
                 for size, known, item in whole_items:
-                    for r, i, shift in _first_places(tokens, size, known, item):
-                        diagonals[r, i].add(shift)
+                    short_hits = list(_first_places(tokens, size, known, item))
+                    if short_hits:
+                        lines.add(*np.array(short_hits, np.int64).T)
                 rows = []
-                for (r, i), shifts in sorted(diagonals.items()):
+                for r, i, shifts in lines.each():
                     own, text = items.tokens[i], tokens.hashes[tokens.bounds[r] : tokens.bounds[r + 1]]
                     best = None
-                    for shift in sorted(shifts):
+                    for shift in shifts:
                         a, b = max(0, -shift), min(len(own), len(text) - shift)
+                        if best is not None and b - a <= best[1] - best[0]:
+                            continue  # too short to hold a longer overlap
                         same = own[a:b] == text[a + shift : b + shift]
                         if len(own) < least:
                             found = (0, len(own)) if b - a == len(own) and same.all() else None
