@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from paceframe.llm.batches import blobs, fields, map_batches, parts, row_key
 from paceframe.runtime import written
 
-SLOTS, KICKS = 4, 500
+SLOTS, KICKS, LOAD = 4, 500, 0.8
 COUNTS = "shard int, k1 long, k2 long, n_docs long"
 FILTERS = "shard int, filter binary"
 
@@ -31,11 +30,55 @@ def _key_hash(key: bytes) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def _other(bucket: np.ndarray, mark: np.ndarray, buckets: int) -> np.ndarray:
+    """The second bucket of a mark; the second of the second is the first."""
+    return bucket ^ (mark * 0x5BD1E995 & (buckets - 1))
+
+
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Of rows sorted by the columns: the number of equal rows before each."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def _nth(those: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, where the true value number ``n`` stands, and whether there is one."""
+    enough = n < those.sum(axis=1)
+    place = np.argsort(~those, axis=1, kind="stable")
+    return place[np.arange(len(n)), np.where(enough, n, 0)], enough
+
+
+def _place(table: np.ndarray, mark: np.ndarray, bucket: np.ndarray) -> bool:
+    """Put all marks into one of their buckets; whether it went. If not, the table is spoilt."""
+    rng = np.random.default_rng(len(mark))
+    for turn in range(KICKS):
+        order = np.argsort(bucket, kind="stable")
+        mark, bucket = mark[order], bucket[order]
+        slot, fits = _nth(table[bucket] == 0, _ranks(bucket))
+        table[bucket[fits], slot[fits]] = mark[fits]
+        mark, bucket = mark[~fits], bucket[~fits]
+        if not len(mark):
+            return True
+        if turn:  # neither bucket has room: one of each bucket changes places with a mark that lies there
+            lead = np.flatnonzero(_ranks(bucket) == 0)
+            slot = rng.integers(SLOTS, size=len(lead))
+            lying = table[bucket[lead], slot].astype(np.int64)
+            table[bucket[lead], slot] = mark[lead]
+            mark[lead] = lying
+        bucket = _other(bucket, mark, len(table))
+    return False
+
+
 class CuckooFilter:
     """A set of 128-bit keys with deletion: 16-bit fingerprints, four to a bucket, in a chain of tables.
 
-    A key lies in one of two buckets; a full pair moves others about, and a table that stays full after
-    ``KICKS`` moves is followed by one of twice the size. No false negatives; false positives are rare.
+    A key lies in one of two buckets; a full pair moves others about. Keys are placed all at once, in rounds over sorted
+    buckets. A table is made for the keys that come, so one build is one table; keys that would fill the newest table beyond
+    ``LOAD``, or that find no place in ``KICKS`` rounds, get a table of their own of at least twice its size, so a chain is as
+    long as the logarithm of its keys, but for keys whose marks and buckets agree. No false negatives; false positives are rare.
     """
 
     def __init__(self, tables: list[np.ndarray] | None = None) -> None:
@@ -45,53 +88,49 @@ class CuckooFilter:
     def _marks(k1: np.ndarray, k2: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mark = (k2.view(np.uint64) % np.uint64(65535) + np.uint64(1)).astype(np.int64)
         first = k1 & (buckets - 1)
-        return mark, first, first ^ (mark * 0x5BD1E995 & (buckets - 1))
+        return mark, first, _other(first, mark, buckets)
 
     def add(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Add keys that are not there yet."""
-        rng = np.random.default_rng(len(k1))
-        for at in range(len(k1)):
-            table = self.tables[-1]
-            mark, first, second = (int(x[0]) for x in self._marks(k1[at : at + 1], k2[at : at + 1], len(table)))
-            if not self._put(table, mark, first, second, rng):
-                self.tables.append(np.zeros((2 * len(table), SLOTS), np.uint16))
-                _, first, second = (int(x[0]) for x in self._marks(k1[at : at + 1], k2[at : at + 1], 2 * len(table)))
-                self._put(self.tables[-1], mark, first, second, rng)
-
-    @staticmethod
-    def _put(table: np.ndarray, mark: int, first: int, second: int, rng: np.random.Generator) -> bool:
-        """Place a mark, or leave the table as it was."""
-        path: list[tuple[int, int, int]] = []
-        bucket = first
-        for other in (first, second):
-            free = np.flatnonzero(table[other] == 0)
-            if len(free):
-                table[other, free[0]] = mark
-                return True
-        for _ in range(KICKS):
-            slot = int(rng.integers(SLOTS))
-            path.append((bucket, slot, int(table[bucket, slot])))
-            mark, table[bucket, slot] = path[-1][2], mark
-            bucket ^= mark * 0x5BD1E995 & (len(table) - 1)
-            free = np.flatnonzero(table[bucket] == 0)
-            if len(free):
-                table[bucket, free[0]] = mark
-                return True
-        for bucket, slot, old in reversed(path):
-            table[bucket, slot] = old
-        return False
+        if not len(k1):
+            return
+        if self.tables and np.count_nonzero(self.tables[-1]) + len(k1) <= LOAD * self.tables[-1].size:
+            table = self.tables[-1].copy()
+            if _place(table, *self._marks(k1, k2, len(table))[:2]):
+                self.tables[-1] = table
+                return
+        self._new_table(k1, k2, 2 * len(self.tables[-1]) if self.tables else 64)
+
+    def _new_table(self, k1: np.ndarray, k2: np.ndarray, buckets: int) -> None:
+        buckets = max(buckets, 1 << int(len(k1) / (LOAD * SLOTS)).bit_length())
+        mark, first, second = self._marks(k1, k2, buckets)
+        low, high = np.minimum(first, second), np.maximum(first, second)
+        order = np.lexsort((mark, high, low))
+        # more keys of one mark and one pair of buckets than a bucket holds: the rest get a further table
+        fit = np.empty(len(k1), bool)
+        fit[order] = _ranks(low[order], high[order], mark[order]) < SLOTS
+        while not _place(table := np.zeros((buckets, SLOTS), np.uint16), *self._marks(k1[fit], k2[fit], buckets)[:2]):
+            buckets *= 2
+        self.tables.append(table)
+        if not fit.all():
+            self._new_table(k1[~fit], k2[~fit], buckets)
 
     def remove(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        """Take out keys that were added."""
-        for at in range(len(k1)):
-            for table in reversed(self.tables):
-                mark, first, second = (int(x[0]) for x in self._marks(k1[at : at + 1], k2[at : at + 1], len(table)))
-                held = [(b, s) for b in (first, second) for s in range(SLOTS) if table[b, s] == mark]
-                if held:
-                    table[held[0]] = 0
-                    break
-            else:
-                raise KeyError("a key to remove is not in the filter")
+        """Take out keys that were added. A mark in a larger table stands for the same buckets in the smaller ones, so which of
+        two keys with the same mark and buckets goes makes no difference."""
+        for table in reversed(self.tables):
+            mark, first, second = self._marks(k1, k2, len(table))
+            low, high = np.minimum(first, second), np.maximum(first, second)
+            order = np.lexsort((mark, high, low))
+            mark, low, high, k1, k2 = (x[order] for x in (mark, low, high, k1, k2))
+            held = np.concatenate((table[low] == mark[:, None], (table[high] == mark[:, None]) & (low != high)[:, None]), axis=1)
+            # the n-th key of a mark and pair of buckets takes out the n-th such mark
+            place, found = _nth(held, _ranks(low, high, mark))
+            bucket = np.where(place < SLOTS, low, high)
+            table[bucket[found], place[found] % SLOTS] = 0
+            k1, k2 = k1[~found], k2[~found]
+        if len(k1):
+            raise KeyError("a key to remove is not in the filter")
 
     def has(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         found = np.zeros(len(k1), bool)
@@ -109,7 +148,7 @@ class CuckooFilter:
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         sizes = np.frombuffer(raw, np.int64, n, 8)
         flat = np.frombuffer(raw, np.uint16, offset=8 * (n + 1)).copy()
-        return cls([x.reshape(-1, SLOTS) for x in np.split(flat, np.cumsum(sizes * SLOTS)[:-1])])
+        return cls([x.reshape(-1, SLOTS) for x in np.split(flat, np.cumsum(sizes * SLOTS)[:-1])] if n else [])
 
 
 def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +167,32 @@ def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["rid", "k1", "k2"])
 
 
-def _update_filter(key: tuple, old: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
-    """One shard's filter after keys became frequent or rare."""
-    cuckoo = CuckooFilter.from_bytes(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter()
-    gone, new = changed[~changed["now"]], changed[changed["now"]]
-    cuckoo.remove(gone["k1"].to_numpy(np.int64), gone["k2"].to_numpy(np.int64))
-    cuckoo.add(new["k1"].to_numpy(np.int64), new["k2"].to_numpy(np.int64))
-    return pd.DataFrame({"shard": [key[0]], "filter": [cuckoo.to_bytes()]})
+def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shard, in order: its filter, keys that became rare, keys that became frequent; gives the new filters."""
+    shard, cuckoo, changes = None, CuckooFilter([]), ([], [])
+
+    def finished() -> pa.RecordBatch:
+        for work, keys in zip((cuckoo.remove, cuckoo.add), changes, strict=True):
+            if keys:
+                work(*map(np.concatenate, zip(*keys, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([cuckoo.to_bytes()], pa.binary())], names=["shard", "filter"])
+
+    for batch in batches:
+        own, kind, k1, k2 = (batch.column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in ("shard", "kind", "k1", "k2"))
+        cuts = [0, *(np.flatnonzero((np.diff(own) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if own[a] != shard:
+                if shard is not None:
+                    yield finished()
+                shard, cuckoo, changes = int(own[a]), CuckooFilter([]), ([], [])  # no table yet: the first is made for its keys
+            if kind[a] == 0:
+                cuckoo = CuckooFilter.from_bytes(batch.column("filter")[a].as_py())
+            else:
+                changes[kind[a] - 1].append((k1[a:b], k2[a:b]))
+    if shard is not None:
+        yield finished()
 
 
 class LineIndex:
@@ -179,7 +237,12 @@ class LineIndex:
         merged = written(merged.withColumn("n_docs", F.when(F.col("n_docs") < 0, refused).otherwise(F.col("n_docs"))), "line-counts")
         was, now = F.col("before") >= self.min_docs, F.col("n_docs") >= self.min_docs
         changed = merged.where(was != now).select("shard", "k1", "k2", now.alias("now"))
-        filters = self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(_update_filter, FILTERS)
+        none = F.lit(None)
+        kept = self.filters.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("k1"), none.cast("long").alias("k2"), "filter")
+        keys = changed.select("shard", F.when(F.col("now"), 2).otherwise(1).alias("kind"), "k1", "k2", none.cast("binary").alias("filter"))
+        tasks = min(self.shards, int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = kept.unionByName(keys).repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+        filters = map_batches(rows, _update_filters, FILTERS)
         counts = merged.where("n_docs > 0").select("shard", "k1", "k2", "n_docs")
         return LineIndex(counts, written(filters, "line-filters"), self.min_docs, self.shards)
 

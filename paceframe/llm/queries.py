@@ -145,17 +145,19 @@ SQL = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
     """,
+    # rows are numbered, since each row is a document, whatever its id
     "op2_line_dedup": f"""
-        WITH lines AS (
-            SELECT doc_id, pos, lines[pos] AS line FROM (
-                SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+        WITH numbered AS (
+            SELECT doc_id, row_number() OVER () AS doc, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), lines AS (
+            SELECT doc_id, doc, pos, lines[pos] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM numbered)
         ), keyed AS (
             SELECT *, translate({_TRIMMED}, '{_UPPER}', '{_LOWER}') AS key FROM lines
         ), frequent AS (
-            SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+            SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= {MIN_DOCS}
         )
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-        FROM keyed LEFT JOIN frequent f ON keyed.key = f.key GROUP BY doc_id
+        FROM keyed LEFT JOIN frequent f ON keyed.key = f.key GROUP BY doc_id, doc
     """,
 }

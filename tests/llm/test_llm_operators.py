@@ -120,9 +120,82 @@ def test_cuckoo_filter_adds_and_removes():
         again.remove(k1[:1500], k2[:1500])
 
 
+def test_cuckoo_filter_of_many_keys_is_one_table_and_grows_by_doubling():
+    rng = np.random.default_rng(6)
+    k1, k2 = rng.integers(-(2**62), 2**62, (2, 200_000))
+    cuckoo = line_dedup.CuckooFilter([])
+    cuckoo.add(k1[:50_000], k2[:50_000])
+    assert len(cuckoo.tables) == 1
+    for at in range(50_000, 200_000, 10_000):
+        cuckoo.add(k1[at : at + 10_000], k2[at : at + 10_000])
+    sizes = [len(t) for t in cuckoo.tables]
+    assert all(b >= 2 * a for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) * 4 < 8 * 200_000
+    assert cuckoo.has(k1, k2).all()
+    cuckoo.remove(k1[1000:150_000], k2[1000:150_000])
+    kept = np.r_[:1000, 150_000:200_000]
+    assert cuckoo.has(k1[kept], k2[kept]).all() and cuckoo.has(k1[1000:150_000], k2[1000:150_000]).mean() < 0.02
+    cuckoo.remove(k1[kept], k2[kept])
+    assert sum(np.count_nonzero(t) for t in cuckoo.tables) == 0
+
+
+def test_cuckoo_filter_holds_more_keys_of_one_mark_than_its_buckets():
+    k1, k2 = (np.arange(1, 41) << 40) + 5, np.full(40, 77)  # one mark, one pair of buckets
+    cuckoo = line_dedup.CuckooFilter()
+    cuckoo.add(k1, k2)
+    assert sum(np.count_nonzero(t) for t in cuckoo.tables) == 40
+    cuckoo.remove(k1[:39], k2[:39])
+    assert cuckoo.has(k1[39:], k2[39:]).all() and sum(np.count_nonzero(t) for t in cuckoo.tables) == 1
+    cuckoo.remove(k1[39:], k2[39:])
+    assert not cuckoo.has(k1, k2).any()
+
+
+def test_line_query_counts_rows_with_one_id_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    from paceframe.llm import queries
+
+    docs = docs_of(spark, ["shared\none", "shared\nown", None, "shared"] * 3, [1, 1, 2, None] * 3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute(queries.SQL["op2_line_dedup"])
+    columns = [d[0] for d in con.description]
+    found = queries.op2_line_dedup(spark, str(tmp_path))
+    assert sorted(map(repr, con.fetchall())) == sorted(repr(tuple(r)) for r in found.select(*columns).collect())
+    assert found.count() == 12 and found.agg(F.max("n_dropped")).first()[0] == 0
+    docs.unionAll(docs).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    con.execute(queries.SQL["op2_line_dedup"])
+    assert sorted(map(repr, con.fetchall())) == sorted(repr(tuple(r)) for r in queries.op2_line_dedup(spark, str(tmp_path)).select(*columns).collect())
+    assert queries.op2_line_dedup(spark, str(tmp_path)).agg(F.sum("n_dropped")).first()[0] == 18
+
+
 # -- decontamination
 
 
+def test_leaks_equal_a_scan_of_all_alignments(spark):
+    rng = random.Random(9)
+    # three words give repeated tokens: many hits, many alignments, ties
+    texts = [" ".join(rng.choices("abc" if i % 2 else "ab", k=rng.randint(0, 90))) for i in range(60)] + ["a " * 3000, "a b " * 1500]
+    items = [" ".join(rng.choices("abc", k=rng.randint(5, 40))) for _ in range(8)] + ["a " * 300, "b " * 20, "a b " * 9]
+    expected = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            t, own, best = np.array(text.split()), np.array(item.split()), None
+            for shift in range(-len(own), len(t)):
+                a, b = max(0, -shift), min(len(own), len(t) - shift)
+                if b <= a:
+                    continue
+                same = own[a:b] == t[a + shift : b + shift]
+                found = decontaminate.overlap(same, 13, 0.8) if len(own) >= 13 else (0, len(own)) if b - a == len(own) and same.all() else None
+                if found and (best is None or found[1] - found[0] > best[2]):
+                    best = (a + found[0] + shift, a + found[0], found[1] - found[0], int(same[slice(*found)].sum()))
+            if best:
+                expected.append((d, i, best[0], best[0] + best[2], best[1], best[3], len(own)))
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id int, text string")
+    found = decontaminate.leaks(docs_of(spark, texts), benchmark)
+    assert got(found, "doc_id", "item_id", "start", "end", "item_start", "n_same", "item_tokens") == sorted(expected, key=repr) and len(expected) > 40
+
+
 def test_overlap_equals_all_ranges():
     rng = np.random.default_rng(2)
     for _ in range(400):
