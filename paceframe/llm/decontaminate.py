@@ -126,8 +126,10 @@ class Diagonals:
 
     def add_hits(self, place: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         """Places of the batch's tokens whose seed is that of the items' seeds ``first`` to ``last``, exclusive."""
+        if not len(place):
+            return
         upto = np.cumsum(last - first)
-        cuts = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, self.PAIRS))
+        cuts = np.searchsorted(upto, np.arange(0, upto[-1], self.PAIRS))
         for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
             if a == b:
                 continue

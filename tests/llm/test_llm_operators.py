@@ -8,6 +8,7 @@ from math import log10
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -196,6 +197,24 @@ def test_leaks_equal_a_scan_of_all_alignments(spark):
     assert got(found, "doc_id", "item_id", "start", "end", "item_start", "n_same", "item_tokens") == sorted(expected, key=repr) and len(expected) > 40
 
 
+def test_hits_are_expanded_in_slices_and_may_be_none(spark, monkeypatch):
+    def aligned():
+        batch = decontaminate.Tokenizer()(pa.array([b"a " * 50, b"", b"b a b"], pa.binary()))
+        found = decontaminate.Diagonals(batch, decontaminate.Items.of([1, 2], [b"a " * 9, b"b"]))
+        none = np.zeros(0, np.int64)
+        found.add_hits(none, none, none, none)
+        assert list(found.each()) == []
+        place = np.arange(40)
+        found.add_hits(place, place * 0, place % 3, place % 3 + 2)
+        return list(found.each())
+
+    whole = aligned()
+    monkeypatch.setattr(decontaminate.Diagonals, "PAIRS", 7)
+    assert aligned() == whole and whole[0][:2] == (0, 0) and len(whole[0][2]) > 30
+    nothing = decontaminate.leaks(docs_of(spark, ["no such words", None, ""]), spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id int, text string"))
+    assert nothing.count() == 0
+
+
 def test_overlap_equals_all_ranges():
     rng = np.random.default_rng(2)
     for _ in range(400):
