@@ -113,7 +113,7 @@ def _first_places(tokens: Tokens, size: int, known: np.ndarray, item: np.ndarray
 class Diagonals:
     """The different ways to line up the texts of a batch with items: (text, item, place in the text less place in the item)."""
 
-    PAIRS = 1 << 21  # hits that are expanded at a time; repeated tokens give many
+    PAIRS = 1 << 19  # hits that are expanded at a time; repeated tokens give many
 
     def __init__(self, tokens: Tokens, items: Items) -> None:
         self.tokens, self.items, self.keys = tokens, items, np.zeros(0, np.int64)
