@@ -47,34 +47,44 @@ class WordIds:
     """
 
     def __init__(self, file: str) -> None:
-        import json
         import os
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        with open(file, encoding="utf-8") as source:
-            plain = json.load(source)
-        suffix = plain["model"].get("end_of_word_suffix")
+        suffix = self.tokenizer.model.end_of_word_suffix
         if not suffix:
             raise ValueError("the vocabulary has no word ends")
-        plain["normalizer"] = plain["post_processor"] = None
-        split = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
-        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, as_bytes]}
-        self.model = Tokenizer.from_str(json.dumps(plain))
-        self.model.encode_special_tokens = True
-        self.special = [token["content"].lower().encode() for token in plain.get("added_tokens", [])]
+        # a second way into the same model, so its tables are held once
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Sequence([Split("\n", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.letters = re.compile("[a-zß-öø-ÿ]+").fullmatch
         self.marks = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n]|\Z)").sub
-        # Worker processes outlive a task, and with them what they remember.
-        self.known: dict[str, bytes] = sys.__dict__.setdefault("_paceframe_word_ids", {}).setdefault(file, {})
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, file: str) -> WordIds:
+        """The worker process's own one for the file: workers outlive a task, and with them what they loaded and remember."""
+        held = sys.__dict__.setdefault("_paceframe_word_ids", {})
+        if file not in held:
+            held[file] = cls(file)
+        return held[file]
+
+    def _plain(self, text: bytes) -> bytes:
+        """Ids of a text whose special tokens' names have their own ids."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
     def _of_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of lower-case words."""
@@ -116,7 +126,7 @@ class WordIds:
             found = [[own[c] if one is None else one for c, one in zip(x, ids, strict=True)] if None in ids else ids for x, ids in zip(chunks, found, strict=True)]
         out = [b"".join(ids) for ids in found]
         for i in named:
-            out[i] = np.array(self.plain.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = self._plain(texts[i])
         return out
 
 
@@ -287,7 +297,7 @@ def packed(df: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Lim
     """
     narrow = df.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_text"))
     schema = [*fields(narrow, _id="_id"), *[T.StructField(n, T.LongType()) for n in NAMES[1:]]]
-    out = map_batches(narrow, _pack(lambda: WordIds(vocabulary), limits, cut, np.array([end_id], "<u4").tobytes()), schema)
+    out = map_batches(narrow, _pack(lambda: WordIds.of_worker(vocabulary), limits, cut, np.array([end_id], "<u4").tobytes()), schema)
     return out.withColumnRenamed("_id", key)
 
 
