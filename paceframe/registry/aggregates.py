@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paceframe.functions.dates import iso_week_id
 from paceframe.operators import correlation, rollups, sessions
+from paceframe.operators.wide_correlation import wide_correlation
 from paceframe.operators.quality import canonical_events
 from paceframe.plans import dashboard, training_status, workout_elt
 from paceframe.plans.partials import DailyPartials
@@ -130,6 +131,31 @@ def _(spark, sf):
     return found.withColumn("r", F.round("r", 6))
 
 
+# Measures that are known for part of the rows only: each line column where each condition holds.
+PART_CONDITIONS = {
+    "all": "TRUE", "returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "few": "l_quantity < 25",
+    "taxed": "l_tax > 0.02", "first": "l_linenumber <= 2", "late": "l_shipdate >= TIMESTAMP '1996-01-01 00:00:00'", "cheap": "l_discount > 0.03",
+}
+PART_COLUMNS = {f"{c}_{name}": f"CASE WHEN {rule} THEN {c} END" for c in LINE_COLUMNS for name, rule in PART_CONDITIONS.items()}
+
+
+def _pairwise_sql() -> str:
+    names = list(PART_COLUMNS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    cells = ", ".join(
+        f"{{'x': '{a}', 'y': '{b}', 'r': CASE WHEN regr_sxx({a}, {b}) > 0 AND regr_syy({a}, {b}) > 0 THEN round(corr({a}, {b}), 6) END, 'n': regr_count({a}, {b})::BIGINT}}"
+        for a, b in pairs
+    )
+    columns = ", ".join(f"{rule} AS {name}" for name, rule in PART_COLUMNS.items())
+    return f"SELECT c.x AS x, c.y AS y, c.r AS r, c.n AS n FROM (SELECT unnest([{cells}]) AS c FROM (SELECT {columns} FROM lineitem))"
+
+
+@C.add("D12_wide_correlation", _pairwise_sql())
+def _(spark, sf):
+    lines = A.table(spark, sf, "lineitem").select(*[F.expr(rule).alias(name) for name, rule in PART_COLUMNS.items()])
+    return wide_correlation(lines, list(PART_COLUMNS)).select("x", "y", (F.round("r", 6) + 0.0).alias("r"), "n")
+
+
 @C.add("J4_vector_correlation", _matrix_sql("lineitem", LINE_COLUMNS, False))
 def _(spark, sf):
     found = correlation.correlation_vector(A.table(spark, sf, "lineitem"), LINE_COLUMNS)
