@@ -37,19 +37,6 @@ def write_monthly(df: DataFrame, path: str, ts: str, sort: Sequence[str], mode:
     staged.sortWithinPartitions("ym", *sort).write.mode(mode).partitionBy("ym").parquet(path)
 
 
-def spread_small_scan(scan: DataFrame, by: str) -> DataFrame:
-    """Let all cores share a scan of fewer splits than cores, for work that is heavy per row.
-
-    Parsing a few large row groups would otherwise run on as many cores as there are row
-    groups. A scan with at least one split per core, as any large table has, is returned
-    unchanged: nothing is shuffled. Only for plain scans, whose splits are known unexecuted.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, by)
-
-
 def distribute(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Hash distribution by a key, the layout of the sharded table."""
     return df.repartition(parts, key)
