@@ -4,7 +4,9 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
@@ -92,3 +94,16 @@ def test_waiting_examples_are_bounded_by_their_ids(monkeypatch):
     for example, start, length, *_ in packer.done:
         placed.setdefault(example, []).append((start, length))
     assert all(sum(n for _, n in p) == 3000 for p in placed.values()) and len(placed) == 200
+
+
+def test_a_worker_keeps_one_tokenizer_whose_setting_returns():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    ids = packing.WordIds.of_worker(file)
+    assert packing.WordIds.of_worker(file) is ids
+    plain = Tokenizer.from_file(file)
+    texts = ["a <|endoftext|> b", "a <| endoftext b", "", "Café, naïve words", "x<|startoftext|>"]
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for order in (texts, texts[::-1]):
+        got = dict(zip(order, ids([t.encode() for t in order]), strict=True))
+        assert [got[t] for t in texts] == expected
+    assert ids.tokenizer.encode_special_tokens
