@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays: SimHash of five-word shingles within 3 bits, or their sets' similarity 0.8 or more."""
     return near_copies.one_of_each(docs)
 
 

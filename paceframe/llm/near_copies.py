@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of their shingles: MinHash bands propose, the shingles themselves decide."""
+"""Near copies by SimHash fingerprints and by the Jaccard similarity of their shingles.
+
+Fingerprints within the radius are links, as in :mod:`paceframe.llm.simhash`. The narrow radius overlooks most copies of similarity 0.8, so
+pairs that share a MinHash band are linked as well if the shingles themselves are similar enough.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +17,26 @@ from pyspark.sql import types as T
 
 from paceframe.llm.batches import blobs, fields, map_batches, parts
 from paceframe.llm.components import components, forest
-from paceframe.llm.simhash import first_of_groups
+from paceframe.llm.simhash import first_of_groups, majority, shingle_hashes
+from paceframe.llm.simhash import links as alike
 from paceframe.runtime import written
 
 #: Bands and minima in a band. Two texts of similarity s share no band with probability (1 - s ** 4) ** 28: 4e-7 at 0.8.
 BANDS, MINIMA = 28, 4
-FACTORS = np.random.default_rng(20240607).integers(1, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint32(1)
-#: Texts and shingles in a tile, about; links kept by a task; shingles hashed or compared at once.
-TILE, TILE_SHINGLES, HELD, RUN = 256, 1 << 18, 1 << 20, 4096
+#: The upper half of ``FACTORS * x + ADDENDS`` modulo 2 ** 64 is a strongly universal hash of the 32-bit number x, one for each minimum.
+FACTORS, ADDENDS = np.random.default_rng(20240607).integers(0, 1 << 64, (2, BANDS * MINIMA), dtype=np.uint64)
+#: Texts and shingles in a tile, about; links kept by a task; shingles compared, and hashed for the bands, at once.
+TILE, TILE_SHINGLES, HELD, RUN, HASHED = 256, 1 << 18, 1 << 20, 4096, 512
+
+
+def different(runs: list[np.ndarray]) -> np.ndarray:
+    """The different hashes in order."""
+    return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The different shingles' XXH64 in order. Words and shingles are those of :func:`simhash.fingerprint`."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    flat = b" ".join(found)
-    ends = list(accumulate([len(w) + 1 for w in found]))
-    one = xxhash.xxh64_intdigest
-    hashes = [one(flat[a : b - 1], seed) for a, b in zip([0, *ends], ends[min(words, len(ends)) - 1 :], strict=False)]
-    return np.unique(np.array(hashes, np.uint64))
+    """The different shingles' XXH64 in order. Words and shingles are those of :func:`simhash.shingle_hashes`."""
+    return different(list(shingle_hashes(text, words, seed)))
 
 
 def node(own: np.ndarray) -> int:
@@ -45,10 +48,11 @@ def bands(own: np.ndarray) -> np.ndarray:
     """A signed 64-bit key for each band of a set's minima; none for an empty set."""
     if not len(own):
         return np.zeros(0, np.int64)
-    low = own.astype(np.uint32)
-    least = np.full(len(FACTORS), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), RUN):
-        np.minimum(least, (FACTORS[:, None] * low[None, at : at + RUN]).min(axis=1), out=least)
+    low = own & np.uint64(0xFFFFFFFF)
+    least = np.full(len(FACTORS), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(low), HASHED):
+        np.minimum(least, (FACTORS[:, None] * low[None, at : at + HASHED] + ADDENDS[:, None]).min(axis=1), out=least)
+    least = (least >> np.uint64(32)).astype(np.uint32)
     rows = least.reshape(BANDS, MINIMA)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
 
@@ -57,11 +61,15 @@ def _signed(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "_text", 1 << 23):
-                sets = [shingles(x, words) for x in blobs(part, "_text")]
-                keys = [bands(x) for x in sets]
+                marks, keys = [], []
+                for text in blobs(part, "_text"):
+                    runs = list(shingle_hashes(text, words))
+                    own = different(runs)
+                    marks.append((node(own), len(own), int(np.uint64(majority(runs)).view(np.int64))))
+                    keys.append(bands(own))
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                columns = [part.column("_id"), part.column("_row"), pa.array([node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, np.concatenate(keys))], names=["_id", "_row", "node", "n", "bands"])
+                columns = [part.column("_id"), part.column("_row"), *[pa.array(x, pa.int64()) for x in zip(*marks, strict=True)]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, np.concatenate(keys))], names=["_id", "_row", "node", "n", "fp", "bands"])
 
     return work
 
@@ -177,25 +185,36 @@ def links(signed: DataFrame, narrow: DataFrame, words: int, ratio: float) -> Dat
     return map_batches(alone.unionByName(across), _compare(ratio), "a long, b long")
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8) -> DataFrame:
+def fingerprint_links(signed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that join all different sets whose texts have fingerprints within ``radius`` bits; texts without words have none."""
+    owners = written(signed.where("n > 0").select("fp", "node").distinct(), "fingerprints")
+    least = owners.groupBy("fp").agg(F.min("node").alias("least"))
+    same = owners.join(least, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    left, right = (least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x)) for x in ("a", "b"))
+    near = alike(owners, radius).toDF("fp_a", "fp_b")
+    return same.unionByName(near.join(left, "fp_a").join(right, "fp_b").select("a", "b"))
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8, radius: int = 3) -> DataFrame:
     """Each row's key, ``_row`` (a hash of the row) and ``root``, the same number for all rows of a group.
 
-    Rows are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``ratio`` or more; groups
-    are what links reach. The similarity is exact; a link is overlooked only if the pair shares none of the bands.
-    NULL and texts without words are one group. Starts jobs.
+    Rows are linked if the SimHash fingerprints of their ``words``-word shingles, repeats included, differ by ``radius`` bits or
+    fewer, or if the Jaccard similarity of the sets of these shingles is ``ratio`` or more; groups are what links reach. All
+    fingerprints are compared as :func:`simhash.links` does. The similarity is exact; a link by it is overlooked only if the pair
+    shares none of the bands. NULL and texts without words are one group. Starts jobs.
     """
     narrow = df.select(F.col(key).alias("_id"), F.xxhash64(key, text).alias("_row"), F.col(text).cast("binary").alias("_text"))
-    schema = [*fields(narrow, _id="_id", _row="_row"), *[T.StructField(n, T.LongType()) for n in ("node", "n")], T.StructField("bands", T.ArrayType(T.LongType(), False))]
+    schema = [*fields(narrow, _id="_id", _row="_row"), *[T.StructField(n, T.LongType()) for n in ("node", "n", "fp")], T.StructField("bands", T.ArrayType(T.LongType(), False))]
     signed = written(map_batches(narrow, _signed(words), schema), "bands")
-    found = components(links(signed, narrow, words, ratio))
+    found = components(links(signed, narrow, words, ratio).unionByName(fingerprint_links(signed, radius)))
     rooted = signed.select("_id", "_row", "node").join(found, "node", "left")
     return rooted.select(F.col("_id").alias(key), "_row", F.coalesce("root", "node").alias("root"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8, radius: int = 3) -> DataFrame:
     """The rows of ``df`` without near copies: of each group the row of the smallest key (NULL last) stays.
 
     All columns are kept, whatever their names. Of rows that repeat key and text one stays. Texts are read whole, whatever their
     length; an empty table stays empty. Starts jobs.
     """
-    return first_of_groups(df, written(groups(df, key, text, words, ratio), "groups"), key, text)
+    return first_of_groups(df, written(groups(df, key, text, words, ratio, radius), "groups"), key, text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, product
 
 import numpy as np
@@ -24,28 +24,36 @@ TILE, BAND, BLOCK = 4096, 16, 1 << 21
 RUN = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """64 bits as an unsigned number: a bit is 1 if more than half of the shingles' XXH64 have it.
+def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles as unsigned numbers, repeats included, in runs.
 
     A-Z are lower-cased; words are runs of anything but space and tab to carriage return; shingles are
-    ``words`` words joined by spaces, repeats included. Fewer words are one shingle; none give 0.
+    ``words`` words joined by spaces. Fewer words are one shingle; none give no run.
     """
     found = text.lower().split()
-    if not found:
-        return 0
-    total = max(1, len(found) - words + 1)
-    ones = np.zeros(64, np.int64)
     one = xxhash.xxh64_intdigest
-    for first in range(0, total, RUN):
+    for first in range(0, max(1, len(found) - words + 1) if found else 0, RUN):
         some = found[first : first + RUN + words - 1]
         flat = b" ".join(some)
         ends = list(accumulate([len(w) + 1 for w in some]))
-        hashes = [one(flat[a : b - 1], seed) for a, b in zip([0, *ends], ends[min(words, len(ends)) - 1 :], strict=False)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([one(flat[a : b - 1], seed) for a, b in zip([0, *ends], ends[min(words, len(ends)) - 1 :], strict=False)], "<u8")
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """64 bits as an unsigned number: a bit is 1 if more than half of all hashes have it; without hashes 0."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in runs:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """A text's fingerprint, the :func:`majority` of its :func:`shingle_hashes`; 0 without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _fingerprints(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

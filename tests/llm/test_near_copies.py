@@ -4,13 +4,15 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from test_llm_operators import ODD, WORDS, docs_of, got  # noqa: E402
 
-from paceframe.llm import near_copies  # noqa: E402
+from paceframe.llm import near_copies, simhash  # noqa: E402
 
 
 def slow_shingles(text):
@@ -67,3 +69,28 @@ def test_near_copies_of_similarity_from_four_fifths_go(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(similar_groups(texts, list(range(len(texts))))))
+
+
+def test_the_stage_links_by_fingerprints_too(spark):
+    """Texts whose repeats decide the fingerprint: their sets are far apart, the fingerprints are not."""
+    rng = random.Random(3)
+    often = "run rest swim rest ride " * 200
+    texts = [often + " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)), "", "one", "two words"]
+    marks = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert all((marks[0] ^ m).bit_count() <= 3 for m in marks[:3]) and all((a ^ b).bit_count() > 3 for i, a in enumerate(marks[2:]) for b in marks[2:][:i])
+    sets = [slow_shingles(t) for t in texts]
+    assert len(sets[0] & sets[1]) < 0.1 * len(sets[0] | sets[1])
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [3, 4, 5, 6, 7]
+
+
+def test_minima_are_spread_evenly():
+    """Each shingle of a set, multiples of powers of two and zero too, is the least of its hashes about equally often."""
+    own = np.array([0, 1, 2, 3, *(1 << b for b in range(20, 32))], np.uint64)
+    values = near_copies.FACTORS[:, None] * own[None, :] + near_copies.ADDENDS[:, None]
+    assert np.bincount(values.argmin(axis=1), minlength=len(own)).max() < len(values) / 4
+    left, right = (np.unique(np.random.default_rng(7).integers(0, 1 << 63, 900, dtype=np.uint64)[a : a + 800]) for a in (0, 100))
+    shared = np.mean(near_copies.bands(left) == near_copies.bands(right))
+    assert 0.1 < shared < 0.7  # 7 / 9 to the fourth is 0.37
