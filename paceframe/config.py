@@ -35,7 +35,8 @@ class DriftConfig:
 class DetectorConfig:
     """Stillness alarm: moved at most 10 m for 30 index units with a heart rate above 180.
 
-    ``buckets`` is the number of groups that live sessions are dealt into, some for every core of the cluster.
+    ``buckets`` is the number of groups that live sessions are dealt into, some for every core of the cluster. A task holds
+    the events and the state of its state partition's buckets that a micro-batch touches, see :func:`paceframe.streaming.jobs.for_backlog`.
     """
 
     move_m: float = 10.0

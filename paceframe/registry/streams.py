@@ -84,9 +84,15 @@ def _(spark, sf):
     return _shown(_finish(spark, session_metrics(_metric_events(spark, sf), "4 hours"), "sessions"))
 
 
+def _for_events(spark, sf, cfg):
+    """The detector's settings for the whole table in one micro-batch; the count reads file footers."""
+    return jobs.for_backlog(spark, cfg, A.table(spark, sf, "events").count())
+
+
 def _detected(spark, sf):
     alerts, summaries = scratch_path(spark, "alerts"), scratch_path(spark, "summaries")
-    jobs.detector_job(A.event_json(A.stream(spark, sf, "events")), alerts, summaries).awaitTermination()
+    cfg, partitions = _for_events(spark, sf, DetectorConfig())
+    jobs.detector_job(A.event_json(A.stream(spark, sf, "events")), alerts, summaries, cfg, state_partitions=partitions).awaitTermination()
     return alerts, summaries
 
 
@@ -145,8 +151,9 @@ BEHIND, IDLE = "6 DAYS", "12 HOURS"
     """, "hr_records"))
 def _(spark, sf):
     alerts, summaries = scratch_path(spark, "alerts"), scratch_path(spark, "summaries")
-    cfg = DetectorConfig(idle_timeout=IDLE)
-    jobs.detector_job(A.shuffled_records(spark, sf), alerts, summaries, cfg, late_by=BEHIND, in_order=True).awaitTermination()
+    cfg, partitions = _for_events(spark, sf, DetectorConfig(idle_timeout=IDLE))
+    records = A.shuffled_records(spark, sf)
+    jobs.detector_job(records, alerts, summaries, cfg, late_by=BEHIND, state_partitions=partitions, in_order=True).awaitTermination()
     schema = (
         "athlete_id string, session_id bigint, velocita_media double, velocita_max double, frequenza_cardiaca_media double, "
         "frequenza_cardiaca_max double, distanza_totale double, campioni bigint, end_reason string"

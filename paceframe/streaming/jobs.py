@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +17,19 @@ from paceframe.streaming.detector import detect
 from paceframe.streaming.ingest import decode_strict, heart_rate_events, without_redelivery
 from paceframe.streaming.metrics import windowed_metrics
 
+#: Events of one micro-batch that a bucket and a task of the detector get, about.
+BUCKET_EVENTS, TASK_EVENTS = 25_000, 200_000
+
+
+def for_backlog(spark: SparkSession, cfg: DetectorConfig, events: int) -> tuple[DetectorConfig, int]:
+    """(parameters, state partitions) of a detector whose micro-batch may bring ``events`` at once, as a first start without caps does.
+
+    A worker holds a bucket's events as records and gives the new states of all its task's buckets back together, so both
+    numbers follow the events: a worker's memory does not. Never fewer than the given buckets or one partition per core.
+    """
+    partitions = max(spark.sparkContext.defaultParallelism, -(-events // TASK_EVENTS))
+    return replace(cfg, buckets=max(cfg.buckets, -(-events // BUCKET_EVENTS))), partitions
+
 
 def detector_job(
     records: DataFrame, alerts: str, summaries: str, cfg: DetectorConfig = DetectorConfig(),

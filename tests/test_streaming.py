@@ -313,3 +313,26 @@ def test_state_partitions_come_from_the_checkpoint_and_settings_are_put_back(spa
     run(7)
     assert rows(sinks.read_sink(spark, path, "sample_index bigint")) == [(1,), (2,), (3,)]
     assert sorted(p for p in os.listdir(tmp_path / "c" / "state" / "0") if p.isdigit()) == ["0", "1", "2"]
+
+
+def test_a_backlog_is_dealt_over_more_buckets_and_tasks(spark, tmp_path, monkeypatch):
+    """What a worker of the detector holds does not grow with the table; the rows stay the same."""
+    from paceframe.registry import adapters, load_all
+
+    events = spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS ts", "id % 7 AS user_id", "'view' AS event_type",
+        "id % 90 + 0.5D AS value", "'' AS props")
+    events.select([c.split()[0] for c in adapters.TABLES["events"].split(", ")]).repartition(3).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    cores, found = spark.sparkContext.defaultParallelism, []
+    started = sinks.start
+    monkeypatch.setattr(sinks, "start", lambda *a: (found.append(a[5]), started(*a))[1])
+    queries = load_all().queries
+    for name in ("L8_session_summaries", "L8_detector_alerts"):
+        small = rows(queries[name](spark, str(tmp_path / "sf")))
+        assert found.pop() == cores
+        with monkeypatch.context() as m:
+            m.setattr(jobs, "TASK_EVENTS", 600 // (cores + 2))
+            m.setattr(jobs, "BUCKET_EVENTS", 2)
+            assert rows(queries[name](spark, str(tmp_path / "sf"))) == small
+            assert found.pop() >= cores + 2
+    assert jobs.for_backlog(spark, DetectorConfig(), 36_000_000)[0].buckets == 1440
