@@ -22,6 +22,8 @@ HEADER = ["allenamento_id", "athlete_id", "data_allenamento", "created_at"]
 # Largest values of the one-byte counters and of the decimal(5,2) load.
 MAX_COUNTER = 255
 MAX_LOAD_KG = 999.99
+# Kinds of rows that a document gives.
+COUNTED, LISTED, UNREADABLE = 0, 1, 2
 
 
 def to_raw(workouts: DataFrame) -> DataFrame:
@@ -45,66 +47,67 @@ def rows_to_stage(workouts: DataFrame, target: DataFrame, staged: DataFrame) ->
     return new_rows_only(to_raw(incremental_scan(workouts, "id", mark)), staged, "allenamento_id")
 
 
-def expand_sets(raw: DataFrame) -> DataFrame:
-    """One row per exercise set with unchecked values; the document is parsed once.
+def expand_documents(raw: DataFrame) -> DataFrame:
+    """One row per exercise set with unchecked values, and one per unreadable document; the document is parsed once.
 
     Workouts without exercises, and exercises without sets, give no row. Missing numbers
     are 0 and a missing name is empty text. Both document shapes are read: an exercise with
     a set count, and one that lists its sets. A chain of generators keeps the work in
     generated code. A count that cannot be a set number stays one row, for the quarantine.
+
+    A document that is no JSON, is blank, or holds a field of a wrong type gives one more row, ``unreadable`` and
+    without set values; its exercises that could be read stay.
     """
-    doc = parsed_once(raw, F.col("struttura_allenamento"), WORKOUT_DOCUMENT, HEADER)
+    text = F.col("struttura_allenamento")
+    schema = T.StructType([*WORKOUT_DOCUMENT.fields, T.StructField("_corrupt_record", T.StringType())])
+    doc = parsed_once(raw, text, schema, [*HEADER, (F.trim(text) == "").alias("blank")])
+    unreadable = F.when(F.col("blank") | F.col("_corrupt_record").isNotNull(), F.array(F.lit(True)))
     both = doc.select(*HEADER, F.inline(F.arrays_zip(
         F.coalesce("esercizi", F.array()).alias("counted"),
         F.coalesce("allenamento.esercizi", F.array()).alias("listed"),
+        F.coalesce(unreadable, F.array()).alias("unreadable"),
     )))
-    both = both.toDF(*HEADER, "counted", "listed")
-    apart = both.select(*HEADER, "counted", "listed", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_counted"))
-    apart = apart.filter(F.when(F.col("is_counted"), F.col("counted").isNotNull()).otherwise(F.col("listed").isNotNull()))
-    listed_sets = F.when(~F.col("is_counted"), F.col("listed.serie"))
+    both = both.toDF(*HEADER, "counted", "listed", "unreadable")
+    apart = both.select(*HEADER, "counted", "listed", "unreadable", F.explode(F.array(*map(F.lit, (COUNTED, LISTED, UNREADABLE)))).alias("kind"))
+    is_counted, is_unreadable = F.col("kind") == COUNTED, F.col("kind") == UNREADABLE
+    apart = apart.filter(F.when(is_counted, F.col("counted").isNotNull()).when(is_unreadable, F.col("unreadable").isNotNull()).otherwise(F.col("listed").isNotNull()))
+    listed_sets = F.when(F.col("kind") == LISTED, F.col("listed.serie"))
     named = apart.select(
         *HEADER,
-        "is_counted",
-        F.coalesce(F.when(F.col("is_counted"), F.col("counted.nome")).otherwise(F.col("listed.nome")), F.lit("")).alias("nome"),
+        "kind",
+        F.coalesce(F.when(is_counted, F.col("counted.nome")).when(~is_unreadable, F.col("listed.nome")), F.when(~is_unreadable, F.lit(""))).alias("nome"),
         "counted",
         F.posexplode_outer(listed_sets).alias("position", "listed_set"),
     )
     n = F.col("counted.serie")
+    one = F.sequence(F.lit(1).cast("bigint"), F.lit(1).cast("bigint"))
     repeats = (
-        F.when(~F.col("is_counted"), F.when(F.col("position").isNotNull(), F.sequence(F.lit(1).cast("bigint"), F.lit(1).cast("bigint"))))
+        F.when(is_unreadable, one)
+        .when(~is_counted, F.when(F.col("position").isNotNull(), one))
         .when(n > MAX_COUNTER, F.sequence(n, n))
         .when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n))
     )
-    numbered = named.select(*HEADER, "is_counted", "nome", "counted", "position", "listed_set", F.explode(repeats).alias("number"))
+    numbered = named.select(*HEADER, "kind", "nome", "counted", "position", "listed_set", F.explode(repeats).alias("number"))
 
     def value(counted: str, kind: str) -> Column:
-        chosen = F.when(F.col("is_counted"), F.col(f"counted.{counted}")).otherwise(F.col(f"listed_set.{counted}"))
-        return F.coalesce(chosen, F.lit(0)).cast(kind)
+        chosen = F.when(is_counted, F.col(f"counted.{counted}")).otherwise(F.col(f"listed_set.{counted}"))
+        return F.when(~is_unreadable, F.coalesce(chosen, F.lit(0)).cast(kind))
 
     own_number = F.coalesce("listed_set.numero", F.col("position") + 1)
     return numbered.select(
         *HEADER,
         "nome",
-        F.when(F.col("is_counted"), F.col("number")).otherwise(own_number).cast("bigint").alias("serie"),
+        F.when(is_counted, F.col("number")).when(~is_unreadable, own_number).cast("bigint").alias("serie"),
         value("ripetizioni", "bigint").alias("ripetizioni"),
         value("recupero_secondi", "bigint").alias("recupero"),
         value("carico_kg", "double").alias("carico"),
+        is_unreadable.alias("unreadable"),
     )
 
 
-def unreadable_documents(raw: DataFrame) -> DataFrame:
-    """Quarantine rows of documents that are no JSON, are blank, or hold a field of a wrong type.
-
-    One row per document, without set values; exercises of such a document that could be read are loaded.
-    """
-    text = F.col("struttura_allenamento")
-    schema = T.StructType([*WORKOUT_DOCUMENT.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = parsed_once(raw, text, schema, [*HEADER, (F.trim(text) == "").alias("blank")])
-    values = {"nome": "string", "serie": "bigint", "ripetizioni": "bigint", "recupero": "bigint", "carico": "double"}
-    return parsed.filter("blank or _corrupt_record is not null").select(
-        *HEADER, *[F.lit(None).cast(kind).alias(name) for name, kind in values.items()],
-        F.array(F.lit("document_unreadable")).alias("reasons"),
-    )
+def expand_sets(raw: DataFrame) -> DataFrame:
+    """The sets of :func:`expand_documents`."""
+    return expand_documents(raw).filter(~F.col("unreadable")).drop("unreadable")
 
 
 def set_rules() -> Rules:
@@ -119,8 +122,14 @@ def set_rules() -> Rules:
 
 def workout_sets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the final table, quarantine with reasons) of staged workouts."""
-    sets, rejected = checked_sets(expand_sets(raw))
-    return sets, rejected.unionByName(unreadable_documents(raw))
+    return checked_documents(expand_documents(raw))
+
+
+def checked_documents(expanded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`checked_sets` of the sets; unreadable documents join the quarantine."""
+    sets, rejected = checked_sets(expanded.filter(~F.col("unreadable")).drop("unreadable"))
+    unreadable = expanded.filter("unreadable").drop("unreadable").withColumn("reasons", F.array(F.lit("document_unreadable")))
+    return sets, rejected.unionByName(unreadable)
 
 
 def checked_sets(expanded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +160,11 @@ class LoadPaths:
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table, or one that the optimiser knows to be empty, so a first load's anti-joins cost nothing."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
@@ -177,8 +187,7 @@ def run_load(workouts: DataFrame, paths: LoadPaths) -> DataFrame:
     # only the staged range of the target is looked at: the bounds reach its scan
     in_range = F.col("allenamento_id").between(control["first_id"], control["last_id"])
     # one parse, kept in the shared folder, feeds both writes
-    sets, rejected = checked_sets(written(expand_sets(staged), "expanded-sets"))
-    rejected = rejected.unionByName(unreadable_documents(staged))
+    sets, rejected = checked_documents(written(expand_documents(staged), "expanded-sets"))
     known = _table(spark, paths.quarantine, rejected.schema).select("allenamento_id").distinct()
     new_rows_only(rejected, known, "allenamento_id").write.mode("append").parquet(paths.quarantine)
     loaded = target.filter(in_range).select("allenamento_id").distinct()

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from paceframe.plans import workout_elt as W
+from paceframe.runtime import written
 
 BENCH = {"nome": "Panca piana", "serie": 4, "ripetizioni": 8, "recupero_secondi": 90, "carico_kg": 62.5}
 PLANK = {"nome": "Plank", "serie": 3, "recupero_secondi": 40, "durata_secondi": 60}
@@ -109,3 +110,14 @@ def test_target_is_partitioned_by_month(spark, tmp_path):
     assert (tmp_path / "target" / "ym=202405").is_dir()
     plan = spark.read.parquet(paths.target).filter("ym = 202405")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(ym" in plan
+
+
+def test_a_first_load_parses_documents_once_and_joins_nothing(spark, tmp_path):
+    raw = W.to_raw(source(spark, {"esercizi": [BENCH, {**PLANK, "recupero_secondi": 300}]}, {"esercizi": [{**BENCH, "serie": "4"}]}, " ", None))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in W.workout_sets(raw)]
+    assert [plan.count("from_json") for plan in plans] == [1, 2]  # the quarantine is a union of two readings, which the load writes once
+    sets, rejected = W.checked_documents(written(W.expand_documents(raw), "expanded"))
+    assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (sets, rejected))
+    missing = W._table(spark, str(tmp_path / "none"), sets.schema)
+    assert missing.schema.names == sets.schema.names and missing.count() == 0
+    assert "Join" not in W.new_rows_only(sets, missing, "allenamento_id")._jdf.queryExecution().optimizedPlan().toString()
