@@ -1,5 +1,6 @@
 """Stages on tables whose columns have the names that operators use inside, and neighbours of wide vectors."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -107,3 +108,17 @@ def test_a_worker_keeps_one_tokenizer_whose_setting_returns():
         got = dict(zip(order, ids([t.encode() for t in order]), strict=True))
         assert [got[t] for t in texts] == expected
     assert ids.tokenizer.encode_special_tokens
+
+
+def test_runs_of_marks_are_chunks_of_their_own_and_ids_stay():
+    """Marks after a-z are looked up apart from the word; ids are those of the tokenizer for the whole text."""
+    file = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(file)
+    words([b"swim.### run,%%% swim run"])
+    assert {"swim", "run", ".###", ",%%%"} <= words.known.keys() and "swim.###" not in words.known
+    rng = random.Random(4)
+    bits = ["a", "run", "Don't", "it's", "x9", "9", "é", "É", "ß", "…", "'", "''", "'s", ".", "!?", "%%%", "_", "-", "<|", "|>", "\u0301", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "中", "\x00"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(3000)]
+    plain = Tokenizer.from_file(file)
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words([t.encode() for t in texts]) == expected
