@@ -281,22 +281,25 @@ def scored(df: DataFrame, vocabulary: str, train: Column, key: str = "doc_id", t
         for batch in batches:
             for part in parts(batch, "_text"):
                 out: list[tuple] = []
-                rest = []
+                rest: tuple[list[bytes], list[int], list[int]] = [], [], [0]  # words, their uses, where each text's end
                 for raw_text in blobs(part, "_text"):
                     found = Counter(words_of(raw_text))
-                    places, times, others = [], [], []
+                    places, times = [], []
                     for word, many in found.items():
                         place = number.get(word)
                         if place is None:
-                            others.append({"word": word, "n": many})
+                            rest[0].append(word)
+                            rest[1].append(many)
                         else:
                             places.append(place)
                             times.append(many)
                     at, many = np.array(places, np.int64), np.array(times, np.int64)
                     out.append((sum(found.values()) + 1, int(known[at] @ many) + end[2], float(base[at] @ many) + end[0], float(log_p[at] @ many) + end[1]))
-                    rest.append(others)
+                    rest[2].append(len(rest[0]))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), *columns, pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))], names=["_id", "_row", "n_tokens", "n_known", "base_score", "score", "rest"])
+                pairs = pa.StructArray.from_arrays([pa.array(rest[0], pa.binary()), pa.array(rest[1], pa.int64())], names=["word", "n"])
+                others = pa.ListArray.from_arrays(pa.array(rest[2], pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), *columns, others], names=["_id", "_row", "n_tokens", "n_known", "base_score", "score", "rest"])
 
     narrow = df.select(F.col(key).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).cast("binary").alias("_text"))
     numbers = [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
